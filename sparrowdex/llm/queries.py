@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from .byte_bpe import round_trip_digests
+from .ngram_join import ngram_components
 from .quality_rules import STOP_WORDS, THRESHOLDS, quality_rules
 from .shared import table
 from .token_counts import token_counts
@@ -15,6 +16,10 @@ BPE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 CONTEXT_TOKENS = 2048
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_components(table(spark, sf_dir, "documents"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = token_counts(table(spark, sf_dir, "documents"), COUNT_VOCABULARY)
     return counts.withColumn("over_limit", counts["n_tokens"] > CONTEXT_TOKENS)
@@ -54,6 +59,7 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 """
 
 QUERIES = {
+    "op2_ngram_join": op2_ngram_join,
     "op4_token_counts": op4_token_counts,
     "op5_quality_rules": op5_quality_rules,
     "op9_byte_bpe": op9_byte_bpe,
