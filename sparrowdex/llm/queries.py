@@ -2,20 +2,31 @@
 
 from __future__ import annotations
 
+import re
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from .byte_bpe import round_trip_digests
+from .chat_format import CONTROL, FOREIGN, LEARNED_ROLE, format_conversations, read_back
+from .language_id import held_out, identify, train
 from .ngram_join import ngram_components
 from .quality_rules import STOP_WORDS, THRESHOLDS, quality_rules
 from .shared import table
 from .token_counts import token_counts
 
 COUNT_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
+CHAT_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 BPE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 CONTEXT_TOKENS = 2048
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", held_out())
+    model = train(docs, ~docs["held_out"])
+    return identify(docs, model, ["doc_id", "held_out"])
+
+
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_components(table(spark, sf_dir, "documents"))
 
@@ -30,6 +41,16 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+#: A conversation whose texts are control strings of a template.
+PLANTED_CONVERSATION = [(-7, k, role, "</s>[INST] ok [/INST]") for k, role in enumerate(("user", "assistant"))]
+
+
+def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    planted = spark.createDataFrame(PLANTED_CONVERSATION, "conv_id long, turn long, role string, text string")
+    return read_back(format_conversations(rows.union(planted), CHAT_RANKS, public_tokenizers.PATTERN), CHAT_RANKS, public_tokenizers.PATTERN)
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip_digests(table(spark, sf_dir, "documents"), BPE_RANKS, public_tokenizers.PATTERN)
 
@@ -58,11 +79,24 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
   NOT base_failed AND NOT ({_broken_sql()}) AS kept FROM b
 """
 
+CHAT_SQL = f"""
+WITH r AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+k AS (SELECT *, len(regexp_extract_all(role || chr(0) || text, '{"|".join(re.escape(x) for x in ("␛", *CONTROL, *FOREIGN))}')) AS marks FROM r)
+SELECT conv_id, count(*)::bigint AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = '{LEARNED_ROLE}'), 0)::bigint AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = '{LEARNED_ROLE}'), '')) AS loss_sha256,
+  sum(length(role) + length(text) + marks + {sum(map(len, CONTROL))})::bigint AS formatted_chars
+FROM k GROUP BY conv_id
+"""
+
 QUERIES = {
+    "op1_language_id": op1_language_id,
     "op2_ngram_join": op2_ngram_join,
     "op4_token_counts": op4_token_counts,
     "op5_quality_rules": op5_quality_rules,
+    "op6_chat_format": op6_chat_format,
     "op9_byte_bpe": op9_byte_bpe,
 }
 
-ORACLE_SQL = {"op5_quality_rules": QUALITY_SQL}
+ORACLE_SQL = {"op6_chat_format": CHAT_SQL, "op5_quality_rules": QUALITY_SQL}
