@@ -6,9 +6,11 @@ import re
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .byte_bpe import round_trip_digests
 from .chat_format import CONTROL, FOREIGN, LEARNED_ROLE, format_conversations, read_back
+from .cross_polytope import nearest
 from .language_id import held_out, identify, train
 from .ngram_join import ngram_components
 from .quality_rules import STOP_WORDS, THRESHOLDS, quality_rules
@@ -31,6 +33,10 @@ def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_components(table(spark, sf_dir, "documents"))
 
 
+def op3_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0, 5)
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = token_counts(table(spark, sf_dir, "documents"), COUNT_VOCABULARY)
     return counts.withColumn("over_limit", counts["n_tokens"] > CONTEXT_TOKENS)
@@ -93,6 +99,7 @@ FROM k GROUP BY conv_id
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_ngram_join": op2_ngram_join,
+    "op3_nearest": op3_nearest,
     "op4_token_counts": op4_token_counts,
     "op5_quality_rules": op5_quality_rules,
     "op6_chat_format": op6_chat_format,
