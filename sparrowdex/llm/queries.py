@@ -14,6 +14,7 @@ from .cross_polytope import nearest
 from .language_id import held_out, identify, train
 from .ngram_join import ngram_components
 from .quality_rules import STOP_WORDS, THRESHOLDS, quality_rules
+from .sentence_spans import drop_repeated_spans
 from .shared import table
 from .token_counts import token_counts
 
@@ -57,6 +58,10 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_back(format_conversations(rows.union(planted), CHAT_RANKS, public_tokenizers.PATTERN), CHAT_RANKS, public_tokenizers.PATTERN)
 
 
+def op8_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return drop_repeated_spans(table(spark, sf_dir, "documents"))
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip_digests(table(spark, sf_dir, "documents"), BPE_RANKS, public_tokenizers.PATTERN)
 
@@ -103,6 +108,7 @@ QUERIES = {
     "op4_token_counts": op4_token_counts,
     "op5_quality_rules": op5_quality_rules,
     "op6_chat_format": op6_chat_format,
+    "op8_sentence_spans": op8_sentence_spans,
     "op9_byte_bpe": op9_byte_bpe,
 }
 
