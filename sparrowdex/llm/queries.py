@@ -13,6 +13,7 @@ from .chat_format import CONTROL, FOREIGN, LEARNED_ROLE, format_conversations, r
 from .cross_polytope import nearest
 from .language_id import held_out, identify, train
 from .ngram_join import ngram_components
+from .pii_crf import pii_spans
 from .quality_rules import STOP_WORDS, THRESHOLDS, quality_rules
 from .sentence_spans import drop_repeated_spans
 from .shared import table
@@ -58,6 +59,10 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_back(format_conversations(rows.union(planted), CHAT_RANKS, public_tokenizers.PATTERN), CHAT_RANKS, public_tokenizers.PATTERN)
 
 
+def op7_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_spans(table(spark, sf_dir, "documents"))
+
+
 def op8_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drop_repeated_spans(table(spark, sf_dir, "documents"))
 
@@ -108,6 +113,7 @@ QUERIES = {
     "op4_token_counts": op4_token_counts,
     "op5_quality_rules": op5_quality_rules,
     "op6_chat_format": op6_chat_format,
+    "op7_pii_spans": op7_pii_spans,
     "op8_sentence_spans": op8_sentence_spans,
     "op9_byte_bpe": op9_byte_bpe,
 }
