@@ -17,6 +17,7 @@ from .pii_crf import pii_spans
 from .quality_rules import STOP_WORDS, THRESHOLDS, quality_rules
 from .sentence_spans import drop_repeated_spans
 from .shared import table
+from .soft_mixing import label_sample, soft_mixing
 from .token_counts import token_counts
 
 COUNT_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -71,6 +72,16 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip_digests(table(spark, sf_dir, "documents"), BPE_RANKS, public_tokenizers.PATTERN)
 
 
+#: Shares of all tokens that the languages of the corpus are to have.
+MIX_WEIGHTS = {"en": 0.4, "fr": 0.2, "de": 0.2, "es": 0.2}
+
+
+def op10_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    labelled = label_sample(table(spark, sf_dir, "labels"), docs, "lang")
+    return soft_mixing(docs, labelled, MIX_WEIGHTS)
+
+
 def _broken_sql() -> str:
     return " OR ".join(f"({left}) {rel} {bound} * ({right})" for _, left, rel, bound, right in THRESHOLDS)
 
@@ -116,6 +127,7 @@ QUERIES = {
     "op7_pii_spans": op7_pii_spans,
     "op8_sentence_spans": op8_sentence_spans,
     "op9_byte_bpe": op9_byte_bpe,
+    "op10_soft_mixing": op10_soft_mixing,
 }
 
 ORACLE_SQL = {"op6_chat_format": CHAT_SQL, "op5_quality_rules": QUALITY_SQL}
