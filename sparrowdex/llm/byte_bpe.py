@@ -1,13 +1,15 @@
 """Byte-level BPE as a lazily determinised finite-state transducer, and streaming decoding.
 
 Encoding.  A split of a byte string into tokens is the one that BPE gives exactly if every pair of
-neighbouring tokens is a pair that BPE leaves as it is.  So the encoder is a transducer whose
-configurations are (previous token, tokens not yet certain, place in the token trie): reading a byte
-moves each configuration down the trie, or ends a token there and starts the next one if the pair is
-allowed.  Sets of configurations are made into deterministic states when they are first met; a token
-is emitted as soon as all configurations of a set agree on it, after at most as many bytes as the
-longest token has.  Merges enter in one place: whether a pair is allowed is found by merging its
-bytes by rank, and kept.
+neighbouring tokens is a pair that BPE leaves as it is.  So each prefix of a piece has one split, and
+the transducer's configurations are (token before, place in the token trie), one for each place where
+the token now being read may have begun.  Reading a byte moves each configuration down the trie; the
+one configuration that stands on a token allowed after its predecessor gives the last token of the
+prefix read so far, and begins a new configuration.  Sets of configurations become deterministic
+states when they are first met; a configuration is kept only as far as it matters, as the tokens that
+it can still become.  Everything before the oldest live configuration is certain and emitted, so
+output lags by the longest token at most.  Merges enter in one place: whether a pair is allowed is
+found by replaying the merges at the border of the two tokens.
 
 Null texts count as empty.  Rows with equal text or id give equal results row by row; other columns
 are not read.  A long text is processed whole, piece by piece.
@@ -29,9 +31,10 @@ from pyspark.sql import functions as F
 
 from .shared import ship
 
-_MEMO_PIECES = 1 << 18
+_MEMO_PIECES = 1 << 19
 _MAX_STATES = 1 << 17
 _NEVER = 1 << 60
+_FEW = 48  # tokens below a node that are listed
 
 #: On texts of these characters only, Python's own classes agree with \p{L}, \p{N} and \s.
 _PLAIN = re.compile("[\\x09-\\x0d\\x20-\\x7e\\xa1-\\xb1\\xb4-\\xb8\\xba\\xbb\\xbf-\\u024f]*")
@@ -81,6 +84,7 @@ class Transducer:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.token = {r: b for b, r in ranks.items()}
+        self.width = {r: len(b) for b, r in ranks.items()}
         self.trie: list[dict[int, int]] = [{}]
         self.final: list[int] = [-1]
         for b, r in ranks.items():
@@ -96,13 +100,46 @@ class Transducer:
             self.final[at] = r
         self.parts: dict[int, tuple[int, int] | None] = {}
         self.spines: tuple[dict[int, list[int]], dict[int, list[int]]] = ({}, {})
+        self.under: dict[int, list[int] | None] = {}
         self.pairs: dict[tuple[int, int], bool] = {}
         self._clear()
 
     def _clear(self) -> None:
-        self.sets: list[tuple] = [((-1, (), 0),)]
-        self.number: dict[tuple, int] = {self.sets[0]: 0}
-        self.moves: list[dict[int, tuple[int, tuple[int, ...]]]] = [{}]
+        # a state: configurations from the oldest on, last token of the prefix read (-1: none)
+        self.states: list[tuple[tuple, int]] = [((), -1)]
+        self.number: dict[tuple, int] = {self.states[0]: 0}
+        self.moves: list[dict[int, int]] = [{}]
+        self.last: list[int] = [-1]
+        self.narrow: dict[tuple[int, int], object] = {}
+
+    def _below(self, node: int) -> list[int] | None:
+        """Tokens at or below a node of the trie, None if they are many."""
+        if node not in self.under:
+            found: list[int] | None = []
+            todo = [node]
+            while todo and found is not None:
+                x = todo.pop()
+                if self.final[x] >= 0:
+                    found.append(self.final[x])
+                todo.extend(self.trie[x].values())
+                if len(found) > _FEW or len(todo) > _FEW:
+                    found = None
+            self.under[node] = found
+        return self.under[node]
+
+    def _begin(self, prev: int, node: int):
+        """What a configuration keeps: the tokens it may become, or where these are many, its predecessor."""
+        key = (prev, node)
+        if key not in self.narrow:
+            below = self._below(node)
+            self.narrow[key] = prev if below is None else tuple(t for t in below if self._allowed(prev, t))
+        return self.narrow[key]
+
+    def _continue(self, kept, node: int):
+        if isinstance(kept, int):
+            return self._begin(kept, node)
+        below = self._below(node)
+        return tuple(t for t in kept if t in below)
 
     def _split(self, t: int) -> tuple[int, int] | None:
         """The two tokens whose merge makes t; None for a single byte.  (-1, -1): merging never makes t."""
@@ -149,50 +186,55 @@ class Transducer:
             self.pairs[a, b] = ok
         return ok
 
-    def _move(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
-        """Determinise one transition: next state, tokens emitted."""
-        found, trie, first = [], self.trie, self.trie[0].get(byte)
-        for prev, held, node in self.sets[state]:
-            to = trie[node].get(byte)
-            if to is not None:
-                found.append((prev, held, to))
-            if first is not None and (t := self.final[node]) >= 0 and self._allowed(prev, t):
-                found.append((t, (*held, t), first))
-        sure = 0
-        if len(found) == 1:
-            sure = len(found[0][1])
-        elif found:
-            found.sort()
-            least = found[0][1]
-            while sure < len(least) and all(len(x[1]) > sure and x[1][sure] == least[sure] for x in found):
-                sure += 1
-        emitted = found[0][1][:sure] if found else ()
-        key = tuple((p, h[sure:], n) for p, h, n in found)
+    def _move(self, state: int, byte: int) -> int:
+        """Determinise one transition."""
+        configs, prev = self.states[state]
+        found, last = [], -1
+        for node, kept in configs:
+            to = self.trie[node].get(byte)
+            if to is not None and (kept := self._continue(kept, to)) != ():
+                found.append((to, kept))
+        if prev >= 0 or state == 0:
+            to = self.trie[0].get(byte)
+            if to is not None and (kept := self._begin(prev, to)) != ():
+                found.append((to, kept))
+        for node, kept in found:
+            t = self.final[node]
+            if t >= 0 and (t in kept if isinstance(kept, tuple) else self._allowed(kept, t)):
+                last = t
+                break
+        # a leaf of the trie has nothing more to become
+        key = (tuple(c for c in found if self.trie[c[0]]), last)
         if key not in self.number:
-            self.number[key] = len(self.sets)
-            self.sets.append(key)
+            self.number[key] = len(self.states)
+            self.states.append(key)
             self.moves.append({})
-        return self.number[key], emitted
+            self.last.append(last)
+        return self.number[key]
 
     def encode_piece(self, piece: bytes) -> list[int]:
         """Token ids of one piece, as merging by rank gives them; a piece that is a token is itself."""
         whole = self.ranks.get(piece)
         if whole is not None:
             return [whole]
-        if len(self.sets) > _MAX_STATES:
+        if len(self.states) > _MAX_STATES:
             self._clear()
-        state, out, moves = 0, [], self.moves
+        state, ends, moves, last = 0, [], self.moves, self.last
         for byte in piece:
-            m = moves[state].get(byte)
-            if m is None:
-                m = moves[state][byte] = self._move(state, byte)
-            state = m[0]
-            if m[1]:
-                out.extend(m[1])
-        ends = {(*h, t) for p, h, n in self.sets[state] if (t := self.final[n]) >= 0 and self._allowed(p, t)}
-        if len(ends) != 1:  # no vocabulary made by merging gets here
-            return merge_by_rank(piece, self.ranks)
-        return out + list(ends.pop())
+            try:
+                state = moves[state][byte]
+            except KeyError:
+                moves[state][byte] = state = self._move(state, byte)
+            ends.append(last[state])
+        out, at = [], len(piece)
+        while at:
+            t = ends[at - 1]
+            if t < 0:  # no vocabulary made by merging gets here
+                return merge_by_rank(piece, self.ranks)
+            out.append(t)
+            at -= self.width[t]
+        out.reverse()
+        return out
 
 
 class ByteBPE:
@@ -206,27 +248,24 @@ class ByteBPE:
 
         self.split = regex.compile(pattern).findall
         self.plain = re.compile(_PLAIN_PATTERN).findall if pattern == _KNOWN_PATTERN else None
-        self.memo: dict[str, tuple[int, ...]] = {}
+        self.memo: dict[str, list[int]] = {}
 
     def pieces(self, text: str) -> list[str]:
         return self.plain(text) if self.plain and _PLAIN.fullmatch(text) else self.split(text)
 
     def encode(self, text: str) -> list[int]:
         memo, pieces = self.memo, self.pieces(text)
-        try:
-            return list(chain.from_iterable(map(memo.__getitem__, pieces)))
-        except KeyError:
-            pass
-        if len(memo) >= _MEMO_PIECES:
+        new = set(pieces).difference(memo)
+        if len(memo) + len(new) > _MEMO_PIECES:
             memo.clear()
-        out: list[int] = []
-        for p in pieces:
-            ids = memo.get(p)
-            if ids is None:
-                ids = tuple(self.transducer.encode_piece(p.encode()))
-                if len(p) <= 64 and len(memo) < 2 * _MEMO_PIECES:
-                    memo[p] = ids
-            out.extend(ids)
+            new = set(pieces)
+        encode_piece = self.transducer.encode_piece
+        for p in new:
+            memo[p] = encode_piece(p.encode())
+        out = list(chain.from_iterable(map(memo.__getitem__, pieces)))
+        for p in new:
+            if len(p) > 64:
+                del memo[p]
         return out
 
     def decode_bytes(self, ids: Iterable[int]) -> bytes:
