@@ -180,9 +180,13 @@ def token_counts(
                 names=["tokenizer", "digest", "n_tokens"],
             )
 
+    # merged at every size: the chosen ids grow with the corpus, so they are no side to broadcast
+    misses = misses.hint("merge")
     chosen = source.join(misses, source["doc_id"].eqNullSafe(misses["doc_id"]), "left_semi")
     chosen.select("text").mapInArrow(encode, CACHE_SCHEMA).write.mode("append").parquet(cache_path)
     counts = read_cache(spark, cache_path).filter(F.col("tokenizer") == version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
+    # written, so that the join below reads plain tables and a group of copies can be split
+    counts = written(counts, "token-counts").hint("merge")
     return keyed.join(counts, "digest").select("doc_id", "n_bytes", "n_tokens")
 
 
