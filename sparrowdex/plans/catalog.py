@@ -279,11 +279,11 @@ g AS (SELECT id, list_append(done, {{'fst': fst, 'lst': pos - 1}}) AS gs FROM f
 """
 
 
-@query("line_groups_overlap", _GROUPS_SQL + "SELECT id, (i - 1)::bigint AS "at", gs[i].fst AS first_line, gs[i].lst AS last_line FROM (SELECT id, gs, unnest(range(1, len(gs) + 1)) AS i FROM g)")
+@query("line_groups_overlap", _GROUPS_SQL + "SELECT id, (i - 1)::bigint AS pos, gs[i].fst AS first_line, gs[i].lst AS last_line FROM (SELECT id, gs, unnest(range(1, len(gs) + 1)) AS i FROM g)")
 def line_groups_overlap(spark, sf_dir):
     counts = F.transform(tx.split_lines(F.col("content")), tx.quarter_tokens)
-    groups = chunks(spark, sf_dir).select("id", F.posexplode(split.line_groups(counts, _MAX, _OVERLAP)).alias("at", "g"))
-    return groups.select("id", F.col("at").cast("long").alias("at"), F.col("g.first").alias("first_line"), F.col("g.last").alias("last_line"))
+    groups = chunks(spark, sf_dir).select("id", F.posexplode(split.line_groups(counts, _MAX, _OVERLAP)).alias("pos", "g"))
+    return groups.select("id", F.col("pos").cast("long").alias("pos"), F.col("g.first").alias("first_line"), F.col("g.last").alias("last_line"))
 
 
 def _parts(spark, sf_dir) -> DataFrame:
