@@ -105,7 +105,7 @@ def retrieve(
     """
     s = settings or Settings()
     depth = candidate_depth(k)
-    by_vector = vector_search(filtered(vectors, filters), questions, depth, metric, "ord" if "ord" in vectors.columns else "id")
+    by_vector = vector_search(filtered(vectors, filters), questions, depth, metric)
     by_keyword = keyword_search(searchable(chunks, filters, s.searchable_chunk_types), questions, depth)
     merged = ranked(fuse(by_vector, by_keyword, s.vector_weight, s.keyword_weight)).withColumnsRenamed(
         {"vector_score": "debug_vector_score", "keyword_score": "debug_keyword_score"}

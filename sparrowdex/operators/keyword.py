@@ -47,15 +47,18 @@ def question_terms(questions: DataFrame) -> DataFrame:
     return questions.select("qid", F.explode(terms(F.col("question"))).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("qtf"))
 
 
-def bm25(docs: DataFrame, questions: DataFrame, text: Column, k1: float = K1, b: float = B) -> DataFrame:
-    """qid, id, score of all documents(id, ...) that share a term with a question; repeated question terms count again."""
+def bm25(docs: DataFrame, questions: DataFrame, text: Column, k1: float = K1, b: float = B, carry: tuple[str, ...] = ()) -> DataFrame:
+    """qid, id, score of all documents(id, ...) that share a term with a question; repeated question terms count again.
+
+    Columns to carry depend on the id; they go along without a join.
+    """
     asked = question_terms(questions)
-    held = docs.select("id", terms(text).alias("_terms")).select("id", F.size("_terms").alias("dl"), "_terms")
+    held = docs.select("id", *carry, terms(text).alias("_terms")).select("id", *carry, F.size("_terms").alias("dl"), "_terms")
     wanted = asked.select("term").distinct()
     tf = (
-        held.select("id", "dl", F.explode("_terms").alias("term"))
+        held.select("id", *carry, "dl", F.explode("_terms").alias("term"))
         .join(wanted, "term", "left_semi")
-        .groupBy("id", "dl", "term")
+        .groupBy("id", *carry, "dl", "term")
         .agg(F.count("*").alias("tf"))
     )
     df = document_frequencies(tf)
@@ -64,23 +67,23 @@ def bm25(docs: DataFrame, questions: DataFrame, text: Column, k1: float = K1, b:
     norm = F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.greatest(F.col("avg_len"), F.lit(1.0)))
     # one row joined to the table of wanted terms: the statistics travel with the frequencies
     weights = asked.join(df, "term").join(stats).select("qid", "term", (F.col("qtf") * idf).alias("w"), "avg_len")
-    scored = tf.join(weights, "term").select("qid", "id", (F.col("w") * F.col("tf") * (k1 + 1) / norm).alias("s"))
-    return scored.groupBy("qid", "id").agg(F.sum("s").alias("score"))
+    scored = tf.join(weights, "term").select("qid", "id", *carry, (F.col("w") * F.col("tf") * (k1 + 1) / norm).alias("s"))
+    return scored.groupBy("qid", "id", *carry).agg(F.sum("s").alias("score"))
 
 
-def metadata_bonus(docs: DataFrame, questions: DataFrame) -> DataFrame:
+def metadata_bonus(docs: DataFrame, questions: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     """qid, id, bonus of documents whose symbol or path holds a question's terms (each counted once)."""
     asked = question_terms(questions).select("qid", "term")
-    field = lambda c, w: docs.select("id", F.explode(F.array_distinct(terms(c))).alias("term"), F.lit(w).alias("bonus"))
+    field = lambda c, w: docs.select("id", *carry, F.explode(F.array_distinct(terms(c))).alias("term"), F.lit(w).alias("bonus"))
     held = field(F.col("symbol"), SYMBOL_BONUS).union(field(F.col("file_path"), PATH_BONUS))
-    return held.join(asked, "term").groupBy("qid", "id").agg(F.sum("bonus").alias("bonus"))
+    return held.join(asked, "term").groupBy("qid", "id", *carry).agg(F.sum("bonus").alias("bonus"))
 
 
-def keyword_scores(docs: DataFrame, questions: DataFrame) -> DataFrame:
+def keyword_scores(docs: DataFrame, questions: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     """qid, id, score > 0: fielded BM25 and bonus of chunks(id, file_path, symbol, chunk_type, content)."""
     text = search_text(F.col("file_path"), F.col("symbol"), F.col("chunk_type"), F.col("content"))
-    both = bm25(docs, questions, text).union(metadata_bonus(docs, questions))
-    return both.groupBy("qid", "id").agg(F.sum("score").alias("score")).filter("score > 0")
+    both = bm25(docs, questions, text, carry=carry).union(metadata_bonus(docs, questions, carry))
+    return both.groupBy("qid", "id", *carry).agg(F.sum("score").alias("score")).filter("score > 0")
 
 
 def top_k(scores: DataFrame, k: int, *ties: Column | str) -> DataFrame:
@@ -89,5 +92,7 @@ def top_k(scores: DataFrame, k: int, *ties: Column | str) -> DataFrame:
     return scores.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def keyword_search(docs: DataFrame, questions: DataFrame, k: int, *ties: Column | str) -> DataFrame:
-    return top_k(keyword_scores(docs, questions), k, *ties)
+def keyword_search(docs: DataFrame, questions: DataFrame, k: int) -> DataFrame:
+    """The k best chunks of each question; equal scores in insertion order where docs have it (ord), else by id."""
+    carry = ("ord",) if "ord" in docs.columns else ()
+    return top_k(keyword_scores(docs, questions, carry), k, *(carry or ("id",))).drop(*carry)

@@ -27,7 +27,7 @@ def similarity(a: Column, b: Column, metric: str = "cosine") -> Column:
     raise ValueError(f"unknown metric {metric!r}: cosine or l2")
 
 
-def vector_scores(vectors: DataFrame, questions: DataFrame, metric: str = "cosine") -> DataFrame:
+def vector_scores(vectors: DataFrame, questions: DataFrame, metric: str = "cosine", carry: tuple[str, ...] = ()) -> DataFrame:
     """qid, id, score of every vector(id, embedding) for every question(qid, qvec).
 
     A stated set of questions against all rows: each block of questions is a literal of bounded size
@@ -39,8 +39,8 @@ def vector_scores(vectors: DataFrame, questions: DataFrame, metric: str = "cosin
 
     def scored(rows: list) -> DataFrame:
         block = vectors.sparkSession.createDataFrame(rows, f"qid {kind}, qvec array<float>").agg(F.collect_list(F.struct("qid", "qvec")).alias("asked"))
-        pairs = vectors.select("id", "embedding").join(F.broadcast(block)).select("id", "embedding", F.explode("asked").alias("q"))
-        return pairs.select("q.qid", "id", similarity(F.col("embedding"), F.col("q.qvec"), metric).alias("score"))
+        pairs = vectors.select("id", *carry, "embedding").join(F.broadcast(block)).select("id", *carry, "embedding", F.explode("asked").alias("q"))
+        return pairs.select("q.qid", "id", *carry, similarity(F.col("embedding"), F.col("q.qvec"), metric).alias("score"))
 
     for r in asked:
         held.append((r["qid"], r["qvec"]))
@@ -55,5 +55,7 @@ def vector_scores(vectors: DataFrame, questions: DataFrame, metric: str = "cosin
     return out
 
 
-def vector_search(vectors: DataFrame, questions: DataFrame, k: int, metric: str = "cosine", *ties: Column | str) -> DataFrame:
-    return top_k(vector_scores(vectors, questions, metric), k, *ties)
+def vector_search(vectors: DataFrame, questions: DataFrame, k: int, metric: str = "cosine") -> DataFrame:
+    """The k nearest of each question; equal scores in insertion order where vectors have it (ord), else by id."""
+    carry = ("ord",) if "ord" in vectors.columns else ()
+    return top_k(vector_scores(vectors, questions, metric, carry), k, *(carry or ("id",))).drop(*carry)

@@ -504,3 +504,95 @@ def relevance_resolve(spark, sf_dir):
     rows = [(1, None, "sym_3", None), (1, "src2/en/2", None, None), (2, None, "sym_1", "method"), (3, None, None, "nothing"), (1, None, "sym_3", "imports")]
     selectors = spark.createDataFrame(rows, "qid int, file_path string, symbol string, chunk_type string")
     return evaluation.resolve_relevant(selectors, chunks(spark, sf_dir))
+
+
+# --- parsers and plug-ins (no SQL form; tests hold them against expected rows) -----------------------
+
+
+@query("text_chunks", """SELECT 'd' || doc_id || '.txt' AS symbol, 1 AS start_line, greatest(1, len(string_split(CASE WHEN ends_with(text, chr(10)) THEN text[:-2] ELSE text END, chr(10))))::int AS end_line, text AS content
+FROM documents WHERE regexp_matches(text, '\\S')""")
+def text_chunks(spark, sf_dir):
+    from ..chunking.parse import parse_files
+
+    files = table(spark, sf_dir, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("file_path"), F.col("text").cast("binary").alias("content"))
+    return parse_files(files).select("symbol", "start_line", "end_line", "content")
+
+
+@query("markdown_sections", """WITH d AS (SELECT doc_id, string_split('# ' || lang || chr(10) || replace(text, chr(10), chr(10) || '## part' || chr(10)), chr(10)) AS ls FROM documents),
+l AS (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS n FROM d), h AS (SELECT doc_id, n, ls[n] AS head, len(ls) AS last FROM l WHERE ls[n] = '## part' OR n = 1)
+SELECT doc_id AS id, CASE WHEN head = '## part' THEN 'part' ELSE head[3:] END AS heading, CASE WHEN head = '## part' THEN 2 ELSE 1 END AS heading_level, n::int AS start_line,
+  (coalesce(lead(n) OVER (PARTITION BY doc_id ORDER BY n) - 1, last - CASE WHEN ends_with((SELECT text FROM documents x WHERE x.doc_id = h.doc_id), chr(10)) THEN 1 ELSE 0 END))::int AS end_line FROM h""")
+def markdown_sections(spark, sf_dir):
+    from ..chunking.parse import parse_files
+
+    body = F.concat(F.lit("# "), "lang", F.lit("\n"), F.replace("text", F.lit("\n"), F.lit("\n## part\n")))
+    files = table(spark, sf_dir, "documents").select(F.concat(F.col("doc_id").cast("string"), F.lit(".md")).alias("file_path"), body.cast("binary").alias("content"))
+    return parse_files(files).select(F.regexp_replace("file_path", "\\.md", "").cast("long").alias("id"), "heading", "heading_level", "start_line", "end_line")
+
+
+_PYTHON = "import os\n\nclass C{0}:\n    X = 1\n\n    def run(self):\n        return os.getcwd()\n\ndef helper{0}():\n    return C{0}()\n"
+_SCRIPT = "import a from 'a';\nexport class C{0} {{\n  run() {{ return a.b(); }}\n}}\nexport const f{0} = async (x) => {{\n  return x;\n}};\n"
+
+
+def _sources(spark, sf_dir, template: str, extension: str) -> DataFrame:
+    """A source file for each document, named after it."""
+    i = F.col("doc_id").cast("string")
+    parts = template.replace("{{", "{").replace("}}", "}").split("{0}")
+    text = F.concat(*[x for k, p in enumerate(parts) for x in ((F.lit(p),) if k == 0 else (i, F.lit(p)))])
+    return table(spark, sf_dir, "documents").select(F.concat(F.lit("src/m"), i, F.lit(extension)).alias("file_path"), text.cast("binary").alias("content"))
+
+
+def _rows_sql(rows: list[tuple[str, str, int, int]], extension: str, keep: str) -> str:
+    head = f"SELECT 'src/m' || doc_id || '{extension}' AS file_path, kind AS chunk_type, replace(replace(symbol, '@F', 'src/m' || doc_id || '{extension}'), '@', doc_id::varchar) AS symbol, a::int AS start_line, b::int AS end_line FROM documents, "
+    return head + "(VALUES " + ", ".join(f"('{k}', '{s}', {a}, {b})" for k, s, a, b in rows) + f") r(kind, symbol, a, b) WHERE {keep}"
+
+
+@query("python_chunks", _rows_sql([("file_metadata", "@F", 1, 1), ("imports", "imports", 1, 1), ("class", "C@", 3, 4), ("method", "C@.run", 6, 7), ("function", "helper@", 9, 10)], ".py", "true"))
+def python_chunks(spark, sf_dir):
+    from ..chunking.parse import parse_files
+
+    return parse_files(_sources(spark, sf_dir, _PYTHON, ".py")).select("file_path", "chunk_type", "symbol", "start_line", "end_line")
+
+
+@query("js_chunks", _rows_sql([("file_metadata", "@F", 1, 1), ("imports", "imports", 1, 1), ("class", "C@", 2, 2), ("method", "C@.run", 3, 3), ("function", "f@", 5, 7)], ".js", "true"))
+def js_chunks(spark, sf_dir):
+    from ..chunking.parse import parse_files
+
+    return parse_files(_sources(spark, sf_dir, _SCRIPT, ".js")).select("file_path", "chunk_type", "symbol", "start_line", "end_line")
+
+
+@query("embed_plugin")
+def embed_plugin(spark, sf_dir):
+    from ..operators.models import HashedWords
+
+    return chunks(spark, sf_dir).select("id", HashedWords(64).column(F.col("content")).alias("embedding"))
+
+
+_RERANK_SQL = f"""WITH {_fused_sql(5)}, a AS (SELECT r.qid, r.id, r.rank, list_distinct({TERMS_SQL.replace("content", "q.question")}) AS asked,
+  {TERMS_SQL.replace("content", "('File: ' || c.file_path || chr(10) || 'Symbol: ' || c.symbol || chr(10) || 'Type: ' || c.chunk_type || chr(10) || chr(10) || c.content)")} AS ts
+  FROM ranked r JOIN q USING (qid) JOIN c USING (id)),
+s AS (SELECT qid, id, rank, round(len(list_intersect(asked, ts))::double / greatest(len(asked), 1), 6) AS score FROM a)
+SELECT qid, id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, rank) AS rank FROM s QUALIFY row_number() OVER (PARTITION BY qid ORDER BY score DESC, rank) <= 5"""
+
+
+@query("rerank_plugin", _RERANK_SQL)
+def rerank_plugin(spark, sf_dir):
+    from ..operators.models import TermOverlap
+
+    own = chunks(spark, sf_dir).withColumn("qualified_symbol", F.lit(None).cast("string"))
+    candidates = _fused(spark, sf_dir, 5).drop("vector_rank", "keyword_rank").join(own.drop("ord"), "id")
+    best = TermOverlap().rerank(candidates, questions(spark), 5)
+    return best.select("qid", "id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+@query("prompt_blocks", """WITH r AS (SELECT conv_id AS qid, turn, text, row_number() OVER (PARTITION BY conv_id ORDER BY role = 'system', length(text) / 16.0::double DESC, turn) AS pos FROM conversations)
+SELECT qid, pos, text AS content FROM r""")
+def prompt_blocks(spark, sf_dir):
+    from ..operators.prompt import context_blocks
+
+    rows = table(spark, sf_dir, "conversations").select(
+        F.col("conv_id").alias("qid"), (F.col("turn") + 1).alias("rank"), (F.length("text") / 16.0).alias("score"), (F.col("role") == "system").alias("is_context_expansion"),
+        F.lit("f").alias("file_path"), F.lit(1).alias("start_line"), F.lit(2).alias("end_line"), F.lit("s").alias("symbol"), F.lit("function").alias("chunk_type"), F.col("text").alias("content"),
+    )
+    blocks = context_blocks(rows)
+    return blocks.select("qid", F.col("at").cast("long").alias("pos"), F.regexp_extract("block", "(?s)\\nContent:\\n(.*)\\z", 1).alias("content"))

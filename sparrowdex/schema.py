@@ -66,7 +66,7 @@ CHUNK = T.StructType([T.StructField(n, t) for n, t in _COLUMNS])
 VECTOR_METADATA = ("file_path", "module", "language", "commit", "chunk_type", "symbol", "qualified_symbol", "start_line", "end_line", "file_metadata_id", "has_parse_errors")
 VECTOR = T.StructType(
     [T.StructField("id", T.StringType()), T.StructField("embedding", T.ArrayType(T.FloatType()))]
-    + [T.StructField(n, t) for n, t in _COLUMNS if n in VECTOR_METADATA]
+    + [T.StructField(n, t) for n, t in _COLUMNS if n in VECTOR_METADATA or n == "ord"]
 )
 MANIFEST = T.StructType(
     [T.StructField("file_path", T.StringType()), T.StructField("content_hash", T.StringType()), T.StructField("chunk_ids", T.ArrayType(T.StringType()))]
