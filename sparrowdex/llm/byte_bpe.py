@@ -29,10 +29,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .bytewords import cut
 from .shared import ship
 
-_MEMO_PIECES = 1 << 19
-_MAX_STATES = 1 << 17
+_MEMO_PIECES = 1 << 18
+_MET = 1 << 22
+_MAX_STATES = 1 << 16
 _NEVER = 1 << 60
 _FEW = 48  # tokens below a node that are listed
 
@@ -167,7 +169,7 @@ class Transducer:
             return bool(self._spine(b, 0))
         ok = self.pairs.get((a, b))
         if ok is None:
-            if len(self.pairs) > 1 << 20:
+            if len(self.pairs) > 1 << 17:
                 self.pairs.clear()
             left, right = self._spine(a, 1), self._spine(b, 0)
             ok, i, j, token, ranks = bool(left and right), 0, 0, self.token, self.ranks
@@ -217,7 +219,7 @@ class Transducer:
         whole = self.ranks.get(piece)
         if whole is not None:
             return [whole]
-        if len(self.states) > _MAX_STATES:
+        if len(self.states) > _MAX_STATES or len(self.narrow) > 3 * _MAX_STATES:
             self._clear()
         state, ends, moves, last = 0, [], self.moves, self.last
         for byte in piece:
@@ -249,6 +251,7 @@ class ByteBPE:
         self.split = regex.compile(pattern).findall
         self.plain = re.compile(_PLAIN_PATTERN).findall if pattern == _KNOWN_PATTERN else None
         self.memo: dict[str, list[int]] = {}
+        self.met, self.news = bytearray(_MET), 0
 
     def pieces(self, text: str) -> list[str]:
         return self.plain(text) if self.plain and _PLAIN.fullmatch(text) else self.split(text)
@@ -263,9 +266,16 @@ class ByteBPE:
         for p in new:
             memo[p] = encode_piece(p.encode())
         out = list(chain.from_iterable(map(memo.__getitem__, pieces)))
+        # kept from the second meeting on: most pieces of a corpus are met once
+        met = self.met
         for p in new:
-            if len(p) > 64:
+            at = hash(p) & (_MET - 1)
+            if len(p) > 64 or not met[at]:
                 del memo[p]
+                met[at] = 1
+        self.news += len(new)
+        if self.news > _MET // 4:
+            self.met, self.news = bytearray(_MET), 0
         return out
 
     def decode_bytes(self, ids: Iterable[int]) -> bytes:
@@ -299,7 +309,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, text_col: str = "
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = coder(path, pattern)
-        for b in batches:
+        for b in cut(batches, 1):
             ids = [c.encode(t or "") for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
@@ -328,7 +338,7 @@ def round_trip_digests(docs: DataFrame, path: str, pattern: str, text_col: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = coder(path, pattern)
         named = [str(i) for i in range(max(c.bytes_of) + 1)]
-        for b in batches:
+        for b in cut(batches, 1):
             n, by_id, by_text = [], [], []
             for t in b.column(1).to_pylist():
                 ids = c.encode(t or "")

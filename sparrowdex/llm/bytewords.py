@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 SLICE_BYTES = 4 << 20
 
@@ -60,6 +61,22 @@ def slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, in
         lo = hi
 
 
+def cut(batches: Iterator[pa.RecordBatch], at: int, limit: int = SLICE_BYTES // 2) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches with about `limit` bytes of text in column `at` (a longer text stands alone).
+
+    What Python makes of texts is several times their size.
+    """
+    for b in batches:
+        sizes = pc.fill_null(pc.binary_length(b.column(at)), 0).to_numpy(zero_copy_only=False)
+        ends = np.cumsum(sizes.astype(np.int64) + 64)
+        lo = 0
+        while lo < len(b):
+            before = ends[lo - 1] if lo else 0
+            hi = max(lo + 1, int(np.searchsorted(ends, before + limit, side="right")))
+            yield b.slice(lo, hi - lo)
+            lo = hi
+
+
 def word_bounds(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends (exclusive) of all words, and words before each text's begin (len = texts + 1)."""
     if not len(data):

@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .byte_bpe import coder
+from .bytewords import cut
 from .shared import parallel, ship
 
 CONTROL = ("<|turn|>", "<|text|>", "<|end|>")
@@ -67,7 +68,7 @@ def format_conversations(rows: DataFrame, path: str, pattern: str) -> DataFrame:
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = _Ids(path, pattern).bpe
-        for b in batches:
+        for b in cut(batches, 3):
             roles = [t or "" for t in b.column(2).to_pylist()]
             texts = [t or "" for t in b.column(3).to_pylist()]
             yield pa.RecordBatch.from_arrays(

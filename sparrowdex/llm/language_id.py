@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .bytewords import cut
 from .shared import ship
 
 PER_LANGUAGE = 300
@@ -108,7 +109,7 @@ def predict(model: Model | None, texts: list[str | None]) -> tuple[list[str], li
     at = 0
     while at < len(todo):
         end, size = at, 0
-        while end < len(todo) and (end == at or size < _BATCH_BYTES) and end - at < 512:
+        while end < len(todo) and (end == at or size < _BATCH_BYTES) and end - at < 256:
             size += len(texts[todo[end]])
             end += 1
         x = presence([texts[i] for i in todo[at:end]]).astype(np.float32)
@@ -134,7 +135,7 @@ def train(docs: DataFrame, teaches: Column, lang_col: str = "lang", text_col: st
     sample = known.select(F.col(lang_col).alias("lang"), draw.alias("draw"), F.col(text_col).alias("text")).filter(F.col("draw") < F.element_at(share, F.col("lang")))
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in cut(batches, 2):
             texts = b.column(2).to_pylist()
             bits = [np.packbits(presence([t])[0]).tobytes() for t in texts]
             rows = pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(bits, pa.binary())], names=["lang", "draw", "bits"])
@@ -153,14 +154,16 @@ def identify(docs: DataFrame, model: Model | None, keep: list[str] | None = None
     """The columns `keep` (all if None) of docs, with lang_pred and score."""
     ship(docs.sparkSession)
     keep = docs.columns if keep is None else keep
-    source = docs.select(*[F.col(c).alias(f"_{k}") for k, c in enumerate(keep)], F.col(text_col).alias("_text"))
+    names = [*keep, *([] if text_col in keep else [text_col])]
+    at = names.index(text_col)
+    source = docs.select(*[F.col(c).alias(f"_{k}") for k, c in enumerate(names)])
     schema = ", ".join(f"_{k} {docs.schema[c].dataType.simpleString()}" for k, c in enumerate(keep))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            names, scores = predict(model, b.column(len(keep)).to_pylist())
+        for b in cut(batches, at):
+            found, scores = predict(model, b.column(at).to_pylist())
             yield pa.RecordBatch.from_arrays(
-                [*b.columns[:-1], pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*b.schema.names[:-1], "lang_pred", "score"]
+                [*b.columns[: len(keep)], pa.array(found, pa.string()), pa.array(scores, pa.float64())], names=[*b.schema.names[: len(keep)], "lang_pred", "score"]
             )
 
     out = source.mapInArrow(run, f"{schema}, lang_pred string, score double" if keep else "lang_pred string, score double")

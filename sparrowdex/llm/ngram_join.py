@@ -39,8 +39,8 @@ from .components import components
 from .shared import discard, parallel, ship, written
 from .signature_tree import SignatureTree
 
-GROUP_SHINGLES = 3_000_000  # shingles that one task sorts at once
-FLUSH_SHINGLES = 1_500_000  # shingles that a task packs at once
+GROUP_SHINGLES = 2_000_000  # shingles that one task sorts at once
+FLUSH_SHINGLES = 1_000_000  # shingles that a task packs at once
 FAMILY_SHINGLES = 1_500_000  # shingles of one block of a family
 FAMILY_SETS = 2_048
 _SEEN = 1 << 20

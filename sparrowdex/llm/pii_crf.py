@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bytewords import LOWER, slices
+from .bytewords import LOWER, cut, slices
 from .shared import ship
 
 BASE_KINDS = ("email", "ip", "card", "phone")
@@ -428,7 +428,7 @@ def model_spans(model: Crf, data: np.ndarray, offs: np.ndarray) -> dict[int, lis
 def find_spans(model: Crf, column: pa.Array) -> Iterator[tuple[str, list, list]]:
     """text, base spans and all spans of every row, as (start, kind number, end) in code points."""
     texts = column.to_pylist()
-    for lo, hi, data, offs in slices(column):
+    for lo, hi, data, offs in slices(column, 1 << 20):
         found = model_spans(model, data, offs)
         for i in range(lo, hi):
             text = texts[i] or ""
@@ -453,7 +453,7 @@ def pii_spans(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -
     model = trained()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in cut(batches, 1):
             counts, digests, joined = [[] for _ in BASE_KINDS], [], []
             for _, base, spans in find_spans(model, b.column(1)):
                 for k, c in enumerate(counts):
@@ -492,7 +492,7 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     at = names.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in cut(batches, at):
             column = b.column(at)
             new = [None if null else mask(t, s) for (t, _, s), null in zip(find_spans(model, column), column.is_null().to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(new, pa.string()) if i == at else c for i, c in enumerate(b.columns)], names=b.schema.names)

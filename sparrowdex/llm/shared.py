@@ -12,12 +12,17 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+_BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 _PACKAGE = Path(__file__).resolve().parents[1]
 
 
 def ship(spark: SparkSession) -> None:
     """Make this package importable in Python workers wherever they run (once per context)."""
     sc = spark.sparkContext
+    # Smaller batches between JVM and Python than Spark's 64 MB: what both sides make of a batch is
+    # several times its size, and they share an executor's memory.
+    if spark.conf.get(_BATCH_BYTES) in ("67108864", "67108864b", "64m", "64MB"):
+        spark.conf.set(_BATCH_BYTES, "8m")
     if getattr(sc, "_sparrowdex_shipped", False):
         return
     folder = tempfile.mkdtemp(prefix="sparrowdex")
