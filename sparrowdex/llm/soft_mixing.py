@@ -30,8 +30,8 @@ from .shared import discard, written
 BUCKETS = 4_096
 EVIDENCE = 12
 LABELLED_ROWS = 4_000
-ROUNDS = 30
-TOLERANCE = 1e-9
+ROUNDS = 20
+TOLERANCE = 1e-6
 _BLANK = "[\\x20\\x09-\\x0D]+"
 
 
@@ -103,12 +103,15 @@ def fit_rates(posteriors: DataFrame, targets: list[float], start: float = 1.0, l
     inverse = np.linalg.pinv(np.array(gram, dtype=float).reshape(k, k), rcond=1e-9, hermitian=True)
     steps: list[list[float]] = []
     goal = np.array(targets, dtype=float)
+    before = np.inf
     for _ in range(ROUNDS):
         rate = _rate(steps, start, least)
         held = np.array(posteriors.agg(*[F.coalesce(F.sum(rate * t * x), F.lit(0.0)) for x in p]).first(), dtype=float)
         left = goal - held
-        if np.abs(left).max() <= TOLERANCE * max(1.0, np.abs(goal).max()):
+        size = float(left @ inverse @ left)  # the objective; when it no longer falls, the bounds are in the way
+        if np.abs(left).max() <= TOLERANCE * max(1.0, np.abs(goal).max()) or size > 0.98 * before:
             break
+        before = size
         step = inverse @ left
         if not np.isfinite(step).all() or np.abs(step).max() < 1e-12:
             break
