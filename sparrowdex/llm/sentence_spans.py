@@ -1,7 +1,8 @@
 """Substring deduplication by sliding spans of sentences.
 
-A sentence ends at a word that ends in . ! or ?, at a line break, or after LONGEST words.  From each
-sentence on, the run of consecutive sentences that has RUN sentences and MIN_WORDS words or more is
+A sentence ends at a word that ends in . ! or ?, or at a line break.  One of more than LONGEST words
+is cut further, after words whose hash is a multiple of CUT and at 4 * LONGEST words at the latest: the
+cuts follow the content, so that a passage is cut alike whatever stands before it.  From each sentence on, the run of consecutive sentences that has RUN sentences and MIN_WORDS words or more is
 hashed (128 bits over ASCII-lower-cased words, so blanks do not matter).  Runs are joined over all
 documents; sentences covered by a run that occurred before - in a document of smaller id, or earlier
 in the same one - are removed with the blanks after them.
@@ -28,7 +29,8 @@ from .shared import ship, written
 
 RUN = 3
 MIN_WORDS = 25
-LONGEST = 12
+LONGEST = 24
+CUT = 4
 
 _R = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1342543DE82EF95))
 _STOPS = np.zeros(256, dtype=bool)
@@ -62,8 +64,13 @@ class Units:
         begins[0] = True
         begins[1:] = stop[:-1]
         begins[first[first < n]] = True
+        self.words = word_hashes(LOWER[data], starts, ends)
         at = np.flatnonzero(begins)
-        begins |= (np.arange(n) - np.repeat(at, np.diff(np.append(at, n)))) % LONGEST == 0
+        size = np.diff(np.append(at, n))
+        long = np.repeat(size > LONGEST, size)
+        begins[1:] |= long[:-1] & (self.words[:-1] % np.uint64(CUT) == 0)
+        at = np.flatnonzero(begins)
+        begins |= (np.arange(n) - np.repeat(at, np.diff(np.append(at, n)))) % (4 * LONGEST) == 0
         self.first = np.flatnonzero(begins)  # first word of each sentence
         self.end = np.append(self.first[1:], n)  # its end in words
         self.unit_first = np.searchsorted(self.first, first)  # sentences before each text
@@ -73,12 +80,12 @@ class Units:
         inside = last < self.unit_first[self.doc + 1]
         self.last = np.where(inside, last, -1)
 
-    def hashes(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def hashes(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Sentences that begin a run, and both halves of the runs' hashes."""
         who = np.flatnonzero(self.last >= 0)
         if not len(who):
             return who, np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-        w = word_hashes(LOWER[data], self.starts, self.ends)
+        w = self.words
         a, b = self.first[who], self.end[self.last[who]]
         out = []
         with np.errstate(over="ignore"):
@@ -94,7 +101,7 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for lo, _, data, offs in slices(batch.column(1)):
             units = Units(data, offs)
-            who, h1, h2 = units.hashes(data)
+            who, h1, h2 = units.hashes()
             rows = pa.array(lo + units.doc[who])
             yield pa.RecordBatch.from_arrays(
                 [
@@ -144,8 +151,11 @@ def drop_repeated_spans(docs: DataFrame, text_col: str = "text", id_col: str = "
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("key"))
     runs = written(source.mapInArrow(_runs, "h1 long, h2 long, doc_id long, key long, at int"), "runs")
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key", "at")
-    first = written(runs.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1").select("h1", "h2", "first"), "first-runs")
-    again = runs.join(first.hint("merge"), ["h1", "h2"]).filter(~place.eqNullSafe(F.col("first")))
+    # most runs occur once: they are counted by their hash alone, and only the others are ordered
+    several = written(runs.groupBy("h1", "h2").count().filter("count > 1").select("h1", "h2"), "repeated-hashes")
+    repeated = written(runs.join(several.hint("merge"), ["h1", "h2"], "left_semi"), "repeated-runs")
+    first = written(repeated.groupBy("h1", "h2").agg(F.min(place).alias("first")), "first-runs")
+    again = repeated.join(first.hint("merge"), ["h1", "h2"]).filter(~place.eqNullSafe(F.col("first")))
     marks = again.groupBy("doc_id", "key").agg(F.collect_set("at").alias("marks"))
     marks = written(marks.withColumnsRenamed({"doc_id": "marked", "key": "marked_key"}), "marks").hint("merge")
     same = source["doc_id"].eqNullSafe(marks["marked"]) & (source["key"] == marks["marked_key"])

@@ -1,23 +1,38 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
 spans = pytest.importorskip("sparrowdex.llm.sentence_spans")
+from sparrowdex.llm.bytewords import word_hashes  # noqa: E402
+
+
+def word_hash(word):
+    data = np.frombuffer(re.sub("[A-Z]", lambda m: m[0].lower(), word).encode(), dtype=np.uint8)
+    return int(word_hashes(data, np.array([0]), np.array([len(data)]))[0])
 
 
 def sentences(text):
-    """(lower-cased words, begin, end with the blanks after it) of each sentence, character by character."""
+    """(lower-cased words, begin, end with the blanks after it) of each sentence, word by word."""
     words = [(m.start(), m.end()) for m in re.finditer(r"[^\x20\x09-\x0D]+", text)]
-    out, now = [], []
+    plain, now = [], []
     for k, (a, b) in enumerate(words):
-        now.append((a, b))
-        end = words[k + 1][0] if k + 1 < len(words) else len(text)
-        if text[b - 1] in ".!?" or "\n" in text[b:end] or len(now) == spans.LONGEST or k + 1 == len(words):
-            low = [re.sub("[A-Z]", lambda m: m[0].lower(), text[x:y]) for x, y in now]
-            out.append((low, now[0][0], end))
+        now.append((a, b, words[k + 1][0] if k + 1 < len(words) else len(text)))
+        if text[b - 1] in ".!?" or "\n" in text[b : now[-1][2]] or k + 1 == len(words):
+            plain.append(now)
             now = []
-    return out
+    cut = []
+    for s in plain:
+        now = []
+        for w in s:
+            now.append(w)
+            if len(s) > spans.LONGEST and (word_hash(text[w[0] : w[1]]) % spans.CUT == 0 or len(now) == 4 * spans.LONGEST):
+                cut.append(now)
+                now = []
+        cut += [now] if now else []
+    low = lambda s: [re.sub("[A-Z]", lambda m: m[0].lower(), text[a:b]) for a, b, _ in s]
+    return [(low(s), s[0][0], s[-1][2]) for s in cut]
 
 
 def brute(rows):
