@@ -54,7 +54,7 @@ def filters_of(a: argparse.Namespace) -> MetadataFilters | None:
 
 def run(a: argparse.Namespace, spark: SparkSession, settings: Settings) -> str:
     s = replace(settings, reranker_enabled=False) if a.no_reranker else settings
-    name = a.index_name or (index_name(a.repo) if getattr(a, "repo", None) else "repo_rag")
+    name = a.index_name or (index_name(a.repo) if getattr(a, "repo", None) else "repository")
     if a.command == "index":
         return f"Indexed {indexing.index_repository(spark, a.repo, a.store, s, name)} chunks in {name}"
     if a.command == "ask":

@@ -85,4 +85,4 @@ def index_name(repo: Column) -> Column:
     """Name of a repository's index: its last path part, without .git, in lower case with dashes."""
     base = F.regexp_replace(F.substring_index(F.regexp_replace(repo, "/+\\z", ""), "/", -1), "\\.git\\z", "")
     slug = F.lower(F.regexp_replace(F.regexp_replace(base, "[^A-Za-z0-9]+", "-"), "^-+|-+\\z", ""))
-    return F.when(slug == "", F.lit("repo_rag")).otherwise(slug)
+    return F.when(slug == "", F.lit("repository")).otherwise(slug)

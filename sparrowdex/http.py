@@ -25,7 +25,7 @@ def respond(spark: SparkSession, settings: Settings, method: str, path: str, bod
     if lacking := [k for k in needed if not isinstance(body.get(k), str) or not body[k]]:
         return 422, {"detail": f"missing: {', '.join(lacking)}"}
     store = body.get("store", "cosine")
-    name = body.get("index_name") or (index_name(body["repo"]) if body.get("repo") else "repo_rag")
+    name = body.get("index_name") or (index_name(body["repo"]) if body.get("repo") else "repository")
     f = MetadataFilters(body.get("language"), body.get("chunk_type"), body.get("path"))
     options = {"k": int(body.get("top_k", 5)), "filters": f if f.active else None}
     if path == "/index":

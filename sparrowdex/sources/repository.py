@@ -36,4 +36,4 @@ def index_name(repo: str) -> str:
     base = repo.rstrip("/").rsplit("/", 1)[-1].rsplit(":", 1)[-1]
     if not os.path.exists(repo) or base.endswith(".git"):
         base = base.removesuffix(".git")
-    return re.sub(r"[^A-Za-z0-9]+", "-", base).strip("-").lower() or "repo_rag"
+    return re.sub(r"[^A-Za-z0-9]+", "-", base).strip("-").lower() or "repository"

@@ -88,7 +88,7 @@ def test_text_functions(spark):
     import re
 
     assert one.t == re.findall(tx.TERM, "café 2FA_x İK".lower()) and one.s == "x"
-    assert index_name("https://github.com/Owner/My.Repo.git") == "my-repo" and index_name("///") == "repo_rag"
+    assert index_name("https://github.com/Owner/My.Repo.git") == "my-repo" and index_name("///") == "repository"
 
 
 def test_prompt(spark):
