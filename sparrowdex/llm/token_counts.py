@@ -21,6 +21,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .bytewords import cut
 from .shared import fresh_path, ship, written
 
 CACHE_SCHEMA = "tokenizer string, digest binary, n_tokens long"
@@ -29,7 +30,7 @@ CACHE_SCHEMA = "tokenizer string, digest binary, n_tokens long"
 #: Python's classes \w \d \s agree with the tokenizer's \p{L} \p{N} \s on each of them.
 _PLAIN = re.compile("[\\x09-\\x0d\\x20-\\x7e\\xa1-\\xb1\\xb4-\\xb8\\xba\\xbb\\xbf-\\u012f\\u0131-\\u024f]*")
 _BLANK = re.compile(r"[\x20\x09-\x0D]+")
-_MEMO = 1 << 18
+_MEMO = 1 << 17
 
 
 def tokenizer_digest(path: str) -> str:
@@ -144,46 +145,51 @@ def token_counts(
 
     def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = _counter(tokenizer_path)
-        for b in batches:
+        for b in cut(batches, 1):
             texts = b.column(1).to_pylist()
             raw = [(t or "").encode() for t in texts]
             norm = [c.normal(t or "").encode() for t in texts]
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array([hashlib.sha256(x).digest()[:16] for x in norm], pa.binary()), pa.array([len(x) for x in raw], pa.int64())],
-                names=["doc_id", "digest", "n_bytes"],
+                [b.column(0), b.column(2), pa.array([hashlib.sha256(x).digest()[:16] for x in norm], pa.binary()), pa.array([len(x) for x in raw], pa.int64())],
+                names=["doc_id", "key", "digest", "n_bytes"],
             )
 
     id_type = docs.schema[id_col].dataType.simpleString()
-    source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    keyed = written(source.mapInArrow(digests, f"doc_id {id_type}, digest binary, n_bytes long"), "token-digests")
+    # rows are known by id and a hash of the text, so that rows without an id, or that share one, keep apart
+    source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("key"))
+    keyed = written(source.mapInArrow(digests, f"doc_id {id_type}, key long, digest binary, n_bytes long"), "token-digests")
     stored = read_cache(spark, cache_path).filter(F.col("tokenizer") == version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
 
-    # One row id for each distinct content that the cache lacks; rows without an id stand for themselves.
+    # One row for each distinct content that the cache lacks.
     misses = (
         keyed.groupBy("digest")
-        .agg(F.min("doc_id").alias("doc_id"))
+        .agg(F.min(F.struct("doc_id", "key")).alias("row"))
         .join(stored, "digest", "left_anti")
-        .select("doc_id")
-        .distinct()
+        .select("digest", F.col("row.doc_id").alias("_id"), F.col("row.key").alias("_key"))
     )
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = _counter(tokenizer_path)
-        for b in batches:
-            texts = [c.normal(t or "") for t in b.column(0).to_pylist()]
+        done: dict[bytes, None] = {}  # rows that repeat an id and its text lie together
+        for b in cut(batches, 0):
+            texts, digests = [], []
+            for t, wanted in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                t = c.normal(t or "")
+                d = hashlib.sha256(t.encode()).digest()[:16]
+                if d == wanted and d not in done:  # an id may be that of other texts too
+                    done[d] = None
+                    if len(done) > 1 << 16:
+                        done.pop(next(iter(done)))
+                    texts.append(t)
+                    digests.append(d)
             yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([version] * len(texts), pa.string()),
-                    pa.array([hashlib.sha256(t.encode()).digest()[:16] for t in texts], pa.binary()),
-                    pa.array(c.count(texts), pa.int64()),
-                ],
+                [pa.array([version] * len(texts), pa.string()), pa.array(digests, pa.binary()), pa.array(c.count(texts), pa.int64())],
                 names=["tokenizer", "digest", "n_tokens"],
             )
 
     # merged at every size: the chosen ids grow with the corpus, so they are no side to broadcast
-    misses = misses.hint("merge")
-    chosen = source.join(misses, source["doc_id"].eqNullSafe(misses["doc_id"]), "left_semi")
-    chosen.select("text").mapInArrow(encode, CACHE_SCHEMA).write.mode("append").parquet(cache_path)
+    chosen = source.join(misses.hint("merge"), (F.col("key") == F.col("_key")) & source["doc_id"].eqNullSafe(F.col("_id")))
+    chosen.select("text", "digest").mapInArrow(encode, CACHE_SCHEMA).write.mode("append").parquet(cache_path)
     counts = read_cache(spark, cache_path).filter(F.col("tokenizer") == version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
     # written, so that the join below reads plain tables and a group of copies can be split
     counts = written(counts, "token-counts").hint("merge")
