@@ -65,7 +65,7 @@ def op7_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return drop_repeated_spans(table(spark, sf_dir, "documents"))
+    return drop_repeated_spans(table(spark, sf_dir, "documents"), whole=True)
 
 
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

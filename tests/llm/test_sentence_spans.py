@@ -80,3 +80,48 @@ def test_matches_brute_force(spark):
 
 def test_empty(spark):
     assert spans.drop_repeated_spans(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_whole_passages_are_covered(spark):
+    word = lambda tag, n: " ".join(f"{tag}{i}" for i in range(n))
+    two = f"{word('a', 24)}. {word('b', 24)}."  # two sentences, 48 words
+    tail = f"{word('c', 10)}. {word('d', 10)}. {word('e', 10)}. {word('f', 3)}. {word('g', 3)}."
+    rows = [
+        (1, f"{two} {word('h', 7)}. {tail}"),
+        (2, f"{word('i', 9)}. {two} {word('j', 9)}."),
+        (3, f"{word('k', 9)}. {tail} {word('l', 30)}."),  # the tail's last runs begin in the passage and end in the text's own words
+        (4, f"{word('m', 9)} {two} {word('n', 9)}."),  # the first sentence is glued to other words: its second is too short to stand alone
+        (5, f"{word('o', 5)}. " * 40),  # each sentence but the first continues a repeat
+    ]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: (r.text.strip(), r.n_removed) for r in spans.drop_repeated_spans(df, whole=True).collect()}
+    assert got[1] == (rows[0][1], 0)
+    assert got[2] == (f"{word('i', 9)}. {word('j', 9)}.", 2)
+    assert got[3] == (f"{word('k', 9)}. {word('l', 30)}.", 5)
+    assert got[4][1] == 0
+    assert got[5] == (f"{word('o', 5)}.", 39)
+
+
+def whole_brute(rows):
+    """Sentences covered if every run of whole sentences that reaches MIN_WORDS words is looked up, whatever its length."""
+    seen, out = {}, {}
+    for i, t in sorted(rows):
+        s, covered = sentences(t), set()
+        for k in range(len(s)):
+            for j in range(k, len(s)):
+                run = tuple(w for x in s[k : j + 1] for w in x[0])
+                if len(run) >= spans.MIN_WORDS:
+                    if seen.setdefault(run, (i, k)) != (i, k):
+                        covered |= set(range(k, j + 1))
+        out[i] = (len(s), len(covered))
+    return out
+
+
+def test_whole_equals_all_runs(spark):
+    r = random.Random(9)
+    words = [f"w{i}" for i in range(300)]
+    prose = lambda n: " ".join(r.choice(words) + r.choice(["", "", "", ".", "!"]) for _ in range(n)) + "."
+    passages = [prose(r.randint(25, 70)) for _ in range(4)]
+    rows = [(k, " ".join([prose(r.randint(1, 40)), r.choice(passages), prose(r.randint(1, 40))])) for k in range(24)]
+    got = spans.drop_repeated_spans(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), whole=True).collect()
+    assert {x.doc_id: (x.n_sentences, x.n_removed) for x in got} == whole_brute(rows)
