@@ -65,3 +65,24 @@ def test_empty_and_unlabelled(spark):
     assert mix.soft_mixing(none, none.select("text", F.col("lang").alias("domain")), {"en": 1.0}).collect() == []
     got = mix.soft_mixing(docs, none.select("text", F.col("lang").alias("domain")), {"en": 0.5, "fr": 0.5}).collect()
     assert all(r.p_en == 0.5 and abs(r.rate - 1) < 1e-6 for r in got)
+
+
+@pytest.mark.parametrize(("least", "weights"), [(0.0, {"de": 0.35, "en": 0.25, "fr": 0.4}), (1.0, {"de": 0.15, "en": 0.8, "fr": 0.15})])
+def test_binding_bounds_against_brute_force(spark, least, weights):
+    """A hot domain cut to a quarter by rates of 0 or more, and targets near to the natural shares with rates of 1 or more."""
+    r = np.random.default_rng(3)
+    hot = r.random(200) < 0.9
+    raw = r.random((200, 3)) * 0.3 + np.where(hot[:, None], [0.0, 3.0, 0.0], [1.0, 0.0, 1.0]) * r.random((200, 1))
+    post, tokens = raw / raw.sum(axis=1, keepdims=True), r.integers(5, 400, 200)
+    table = spark.createDataFrame([(int(n), p.tolist()) for n, p in zip(tokens, post, strict=True)], "_tokens long, _post array<double>")
+    targets = np.array([weights[d] for d in sorted(weights)]) * tokens.sum()
+    steps = mix.fit_rates(table, targets.tolist(), least=least)
+    rate = np.array([x.rate for x in table.select(mix._rate(steps, 1.0, least).alias("rate")).collect()])
+    want = brute(post, tokens.astype(float), targets, least=least, rounds=20_000)
+    inverse = np.linalg.pinv((post * tokens[:, None]).T @ post)
+    left = [targets - (post * (x * tokens)[:, None]).sum(axis=0) for x in (rate, want)]
+    size = [x @ inverse @ x for x in left]
+    assert (rate >= least).all() and (rate == least).sum() > 20
+    # the fit is as good as the brute force's, whatever way it took
+    assert size[0] <= size[1] * (1 + 1e-3) + 1e-6 * tokens.sum()
+    assert np.allclose(left[0], left[1], atol=1e-3 * tokens.sum())
