@@ -87,3 +87,22 @@ def test_run_takes_all_stages(spark, folder):
     out = pipe.run(spark, at)
     assert out.columns == ["doc_id", "ids", "n_tokens"] and out.count() > 150
     assert os.path.isdir(at)
+
+
+FOREIGN = [
+    "Быстрая коричневая лиса прыгает через ленивую собаку и бежит дальше в лес",
+    "敏捷的棕色狐狸跳过懒狗然后跑进森林",
+    "いろはにほへとちりぬるを わかよたれそつねならむ",
+    "Η γρήγορη καφέ αλεπού πηδάει πάνω από το τεμπέλικο σκυλί",
+    "الثعلب البني السريع يقفز فوق الكلب الكسول",
+    "zzzz qqqq xxxx vvvv kkkk",
+    "0f3a9c 7b 1ff ac09 12c",
+]
+
+
+def test_foreign_scripts_and_gibberish_go(spark, folder):
+    at, rows = folder
+    docs = spark.read.parquet(f"{at}/documents.parquet").drop("extra")
+    planted = spark.createDataFrame([(1000 + i, t, None, "s", len(t)) for i, t in enumerate(FOREIGN)], docs.schema)
+    got = {r.doc_id for r in pipe.language(spark, docs.union(planted), at).collect()}
+    assert got == {r[0] for r in rows} - {400, 401, 402}
