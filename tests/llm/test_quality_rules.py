@@ -45,3 +45,22 @@ def test_matches_brute_force(spark):
 def test_plan_has_no_exchange_and_no_python(spark):
     plan = rules.quality_rules(spark.createDataFrame([(1, "x")], "doc_id long, text string"))._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Python" not in plan
+
+
+def test_each_rule_is_broken_alone(spark):
+    words = lambda n, size=5, tag="": " ".join(f"{tag}{i:0{size - len(tag)}d}" for i in range(n))
+    lines = lambda n, end="", start="": "\n".join(f"{start}the and {words(5, tag=chr(97 + i))}{end}" for i in range(n))
+    texts = {
+        None: lines(12),
+        "mean_word_short": "the and " + words(90, 2),
+        "mean_word_long": "the and " + words(60, 14),
+        "symbol_ratio": "the and " + words(60) + " |" * 9,
+        "dup_line_ratio": lines(12) + "\nx" * 11,
+        "bullet_line_ratio": lines(12, start="- "),
+        "ellipsis_line_ratio": lines(8) + "\n" + "\n".join(f"{words(3, tag='z' + chr(97 + i))} ..." for i in range(5)),
+        "stop_words": words(60),
+    }
+    assert set(texts) - {None} == {r[0] for r in rules.THRESHOLDS}
+    rows = [(i, t) for i, t in enumerate(texts.values())]
+    got = rules.quality_rules(spark.createDataFrame(rows, "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [(r.broken_rules, r.base_failed) for r in got] == [([] if k is None else [k], False) for k in texts]
