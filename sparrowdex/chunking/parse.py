@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from ..functions.text import TokenCount, quarter_tokens
+from ..functions.text import TokenCount, token_counter
 from ..operators.split import split_oversized
 from ..schema import CHUNK
 from ..session import ship
@@ -23,6 +23,11 @@ _LANGUAGES = {".py": "python", ".md": "markdown", ".txt": "text", ".js": "javasc
 _PARSERS = {"python": python_chunks, "markdown": markdown_chunks, "text": text_chunks, "javascript": script_chunks, "typescript": script_chunks}
 
 
+#: Sources, and chunk rows, whose rows leave a worker together.
+_BATCH_BYTES = 2 << 20
+_BATCH_ROWS = 2_048
+
+
 def parse_file(path: str, content: bytes, commit: str | None = None) -> list[dict]:
     """Chunk rows of one file; none for an extension that has no parser."""
     language = _LANGUAGES.get("." + path.rsplit(".", 1)[-1].lower()) if "." in path.rsplit("/", 1)[-1] else None
@@ -40,22 +45,29 @@ def parse_files(files: DataFrame, commit: str | None = None) -> DataFrame:
     schema = to_arrow_schema(CHUNK)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[dict] = []
+        size = 0
         for b in batches:
-            for path, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                rows = parse_file(path, content or b"", commit)
-                for k, r in enumerate(rows):
+            for path, content in zip(b.column(0), b.column(1), strict=True):
+                content = content.as_py() or b""
+                for k, r in enumerate(parse_file(path.as_py(), content, commit)):
                     r["ord"] = k
-                if rows:
-                    yield pa.RecordBatch.from_pylist(rows, schema=schema)
+                    held.append(r)
+                size += len(content)
+                if size >= _BATCH_BYTES or len(held) >= _BATCH_ROWS:
+                    yield pa.RecordBatch.from_pylist(held, schema=schema)
+                    held, size = [], 0
+        if held:
+            yield pa.RecordBatch.from_pylist(held, schema=schema)
 
     return files.select("file_path", "content").mapInArrow(run, CHUNK)
 
 
-def create_chunks(files: DataFrame, settings: Settings | None = None, commit: str | None = None, count: TokenCount = quarter_tokens) -> DataFrame:
+def create_chunks(files: DataFrame, settings: Settings | None = None, commit: str | None = None, count: TokenCount | None = None) -> DataFrame:
     """All chunks of the files, oversized ones in parts.  Order them by (file order, ord)."""
     s = settings or Settings()
     parsed = parse_files(files, commit)
-    return split_oversized(parsed, s.max_chunk_tokens, s.chunk_overlap_tokens, count, s.splittable_chunk_types)
+    return split_oversized(parsed, s.max_chunk_tokens, s.chunk_overlap_tokens, count or token_counter(s.token_counter), s.splittable_chunk_types)
 
 
 def in_file_order(chunks: DataFrame) -> DataFrame:

@@ -17,6 +17,17 @@ def script_module(path: str) -> str:
     return ".".join(parts[:-1] if parts[-1] == "index" else parts)
 
 
+#: Folders and name heads that mark tests.
+TEST_FOLDER = "tests"
+TEST_HEAD = "test_"
+_TEST_PLACE = re.compile(f"(?:^|/){TEST_FOLDER}/|(?:^|/){TEST_HEAD}[^/]*$")
+
+
+def is_test(path: str, symbol: str) -> bool:
+    """Below a folder of tests, in a file of tests, or a test by its own name."""
+    return bool(_TEST_PLACE.search(path)) or symbol.split(".")[-1].startswith(TEST_HEAD)
+
+
 @dataclass
 class Source:
     """A decoded file; bytes that are no UTF-8 are left out."""

@@ -2,7 +2,8 @@
 
 The scanner blanks out what is no code (comments, strings, templates, regular expressions, text
 between tags) and then finds declarations at the top level and members at the top of class bodies.
-It knows no grammar: an unbalanced bracket is the one kind of error it reports.
+It knows no grammar: brackets without a partner, and comments and templates without an end, are the
+errors that it reports, each with its line, at any depth.
 """
 
 from __future__ import annotations
@@ -51,6 +52,8 @@ def scan(text: str) -> Scan:
             blank(i, j)
         elif text.startswith("/*", i):
             j = text.find("*/", i + 2)
+            if j < 0:
+                errors.append(i)
             j = n if j < 0 else j + 2
             blank(i, j)
         elif c in "'\"":
@@ -74,6 +77,8 @@ def scan(text: str) -> Scan:
                 stack[-1] = text.rfind("`", 0, j)
                 j += 2
             else:
+                if j >= n:
+                    errors.append(i)
                 j = min(j + 1, n)
         elif c == "/" and _BEFORE_REGEX.search("".join(out[max(0, i - 24) : i])):
             j, inside = i + 1, False

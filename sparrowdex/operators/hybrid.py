@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -18,10 +18,22 @@ def candidate_depth(k: int) -> int:
     return max(4 * k, 20)
 
 
+def _over_best(best: Column) -> Column:
+    return F.when(best <= 0, F.lit(0.0)).otherwise(F.col("score") / best)
+
+
 def max_normalize(scores: DataFrame) -> DataFrame:
-    """Scores over the best of their question; all 0 if that is not above 0.  Negative scores stay negative."""
-    best = F.max("score").over(Window.partitionBy("qid"))
-    return scores.withColumn("score", F.when(best <= 0, F.lit(0.0)).otherwise(F.col("score") / best))
+    """Scores over the best of their question; all 0 if that is not above 0.  Negative scores stay negative.
+
+    For candidates: a question's rows meet in one task, and a search leaves candidate_depth() of them.
+    """
+    return scores.withColumn("score", _over_best(F.max("score").over(Window.partitionBy("qid"))))
+
+
+def max_normalize_all(scores: DataFrame) -> DataFrame:
+    """The same for any number of rows a question: the best is a partial aggregate that is joined back."""
+    best = scores.groupBy("qid").agg(F.max("score").alias("_best"))
+    return scores.join(best, "qid").withColumn("score", _over_best(F.col("_best"))).drop("_best")
 
 
 def fuse(vector: DataFrame, keyword: DataFrame, vector_weight: float = 0.25, keyword_weight: float = 0.75) -> DataFrame:

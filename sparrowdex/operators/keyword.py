@@ -47,22 +47,27 @@ def question_terms(questions: DataFrame) -> DataFrame:
     return questions.select("qid", F.explode(terms(F.col("question"))).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("qtf"))
 
 
+#: Stands for the document itself among its terms; no term is empty.
+_DOCUMENT = ""
+
+
 def bm25(docs: DataFrame, questions: DataFrame, text: Column, k1: float = K1, b: float = B, carry: tuple[str, ...] = ()) -> DataFrame:
     """qid, id, score of all documents(id, ...) that share a term with a question; repeated question terms count again.
 
-    Columns to carry depend on the id; they go along without a join.
+    Columns to carry depend on the id; they go along without a join.  Texts are read and cut into terms
+    once: each document also gives one row for itself, so that frequencies, document frequencies and
+    statistics are three readings of one exchange.
     """
     asked = question_terms(questions)
     held = docs.select("id", *carry, terms(text).alias("_terms")).select("id", *carry, F.size("_terms").alias("dl"), "_terms")
-    wanted = asked.select("term").distinct()
-    tf = (
-        held.select("id", *carry, "dl", F.explode("_terms").alias("term"))
-        .join(wanted, "term", "left_semi")
-        .groupBy("id", *carry, "dl", "term")
-        .agg(F.count("*").alias("tf"))
-    )
-    df = document_frequencies(tf)
-    stats = corpus_stats(docs, text)
+    wanted = asked.select("term").distinct().union(docs.sparkSession.range(1).select(F.lit(_DOCUMENT).alias("term")))
+    rows = held.select("id", *carry, "dl", F.explode(F.concat(F.array(F.lit(_DOCUMENT)), "_terms")).alias("term"))
+    rows = rows.withColumn("term", F.coalesce("term", F.lit(_DOCUMENT)))  # never null: else a join's filter on nulls would be pushed below
+    tf = rows.join(wanted, "term", "left_semi").groupBy("id", *carry, "dl", "term").agg(F.count("*").alias("tf"))
+    itself = F.col("term") == _DOCUMENT
+    # no filters here: they would be pushed below the exchange, and its result could not be read again
+    df = tf.groupBy("term").agg(F.sum(F.when(~itself & (F.col("tf") > 0), 1)).alias("df"))
+    stats = tf.agg(F.sum(F.when(itself, F.col("tf"))).alias("n_docs"), F.coalesce(F.avg(F.when(itself & (F.col("tf") > 0), F.col("dl"))), F.lit(0.0)).alias("avg_len"))
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     norm = F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.greatest(F.col("avg_len"), F.lit(1.0)))
     # one row joined to the table of wanted terms: the statistics travel with the frequencies

@@ -48,6 +48,12 @@ def missing(left: DataFrame, right: DataFrame) -> DataFrame:
     return left.select("id").distinct().join(right.select("id"), "id", "left_anti")
 
 
+def chunks_by_file(chunks: DataFrame) -> DataFrame:
+    """file_path, chunk_ids in insertion order: a row for each file, as large as the file."""
+    rows = F.sort_array(F.collect_list(F.struct("ord", "id")))
+    return chunks.groupBy("file_path").agg(rows.alias("_rows")).select("file_path", F.transform("_rows", lambda r: r["id"]).alias("chunk_ids"))
+
+
 def health(chunks: DataFrame, vectors: DataFrame, manifest: DataFrame, dimensions: int, types: tuple[str, ...] = SEARCHABLE_TYPES) -> dict[str, DataFrame]:
     """Frames of offending ids by check; all are empty for a sound index."""
     noted = manifest.select(F.explode("chunk_ids").alias("id"))

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import json
+from collections import defaultdict
 from collections.abc import Callable, Sequence
-from decimal import ROUND_HALF_EVEN, Decimal
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import TokenCount, quarter_tokens
+from ..functions.text import ModelTokens, TokenCount, quarter_tokens
 
 SEPARATOR = "\n\n---\n\n"
 
@@ -60,7 +61,10 @@ def prompts(questions: DataFrame, matches: DataFrame, budget: int = 3000, count:
     """qid, prompt, n_blocks, n_omitted for every question, also those without matches."""
     gathered = context_blocks(matches).groupBy("qid").agg(F.sort_array(F.collect_list(F.struct("at", "block"))).alias("blocks"))
     both = questions.join(gathered, "qid", "left").withColumn("blocks", F.coalesce("blocks", F.array().cast("array<struct<at:int,block:string>>")))
-    kept = both.withColumn("kept", greedy_budget(F.col("blocks"), lambda r: count(r["block"]).cast("long"), budget))
+    texts = F.transform("blocks", lambda r: r["block"])
+    sizes = count.each(texts) if isinstance(count, ModelTokens) else F.transform(texts, count)
+    sized = both.withColumn("_sizes", sizes).withColumn("blocks", F.zip_with("blocks", "_sizes", lambda r, n: F.struct(r["block"].alias("block"), n.cast("long").alias("n"))))
+    kept = sized.withColumn("kept", greedy_budget(F.col("blocks"), lambda r: r["n"], budget))
     omitted = F.size("blocks") - F.size("kept")
     note = F.when(omitted > 0, F.concat(F.lit("\n\nNote: "), omitted.cast("string"), F.lit(" retrieved context chunk(s) were omitted due to the prompt token budget."))).otherwise("")
     prompt = F.concat(
@@ -75,36 +79,48 @@ def prompts(questions: DataFrame, matches: DataFrame, budget: int = 3000, count:
     return kept.select("qid", prompt.alias("prompt"), F.size("kept").alias("n_blocks"), omitted.alias("n_omitted"))
 
 
-def format_score(value: float) -> str:
-    """Four decimals of the exact binary value."""
-    return str(Decimal(value).quantize(Decimal("0.0001"), ROUND_HALF_EVEN))
-
-
 def preview(content: str, chars: int = 700) -> str:
+    """The first characters of a text, each line behind a bar; nothing if no characters are wanted."""
     if chars <= 0:
         return ""
-    text = content.strip()
-    if len(text) > chars:
-        text = text[:chars].rstrip() + "..."
-    return "\n".join("   | " + line for line in text.splitlines()) or "   |"
+    shown = content.strip()
+    shown = shown if len(shown) <= chars else shown[:chars].rstrip() + "..."
+    return "\n".join(f"   | {line}" for line in shown.splitlines()) or "   |"
+
+
+#: The scores that a listing may show, and how a listing names a chunk.
+DEBUG_SCORES = ("vector", "keyword", "combined", "reranker")
+_PLACE = "{file_path}:{start_line}-{end_line}"
+_KIND = "{chunk_type} {symbol}"
+
+
+def listing(row: dict, number: int, chars: int = 0, debug: bool = False) -> str:
+    """One ranked row as a few lines: score and place, kind, then scores and text as asked for."""
+    known = defaultdict(lambda: None, row)
+    scores = {name: row.get(f"debug_{name}_score") for name in DEBUG_SCORES} if debug else {}
+    # a search without a reranker has no score of one; the others count as 0 where they are missing
+    if scores and scores["reranker"] is None:
+        del scores["reranker"]
+    parts = (
+        f"{number}. score={row['score']:.4f} {_PLACE.format_map(known)}",
+        f"   {_KIND.format_map(known)}",
+        "   debug: " + " ".join(f"{name}={value or 0:.4f}" for name, value in scores.items()) if scores else "",
+        preview(row.get("content") or "", chars),
+    )
+    return "\n".join(filter(None, parts))
 
 
 def format_matches(rows: Sequence[dict], show_content: bool = False, content_chars: int = 700, debug_scores: bool = False) -> str:
-    """Ranked rows as text: one line of score and place, one of type and symbol, more as asked for."""
-    out = []
-    for i, r in enumerate(rows, 1):
-        out += [f"{i}. score={r['score']:.4f} {r.get('file_path')}:{r.get('start_line')}-{r.get('end_line')}", f"   {r.get('chunk_type')} {r.get('symbol')}"]
-        if debug_scores:
-            shown = {k: r.get(f"debug_{k}_score") for k in ("vector", "keyword", "combined", "reranker")}
-            out.append("   debug: " + " ".join(f"{k}={v or 0.0:.4f}" for k, v in shown.items() if k != "reranker" or v is not None))
-        if show_content:
-            out.append(preview(r.get("content") or "", content_chars))
-    return "\n".join(out)
+    return "\n".join(listing(row, k + 1, content_chars if show_content else 0, debug_scores) for k, row in enumerate(rows))
+
+
+#: Columns of a result that are no metadata of the chunk.
+_OUTSIDE = {"id", "score", "content", "qid", "rank", "ord"}
 
 
 def matches_json(rows: Sequence[dict]) -> str:
-    import json
+    def record(row: dict) -> dict:
+        about = {k: v for k, v in row.items() if k not in _OUTSIDE and v is not None}
+        return {k: row.get(k) for k in ("id", "score", "content")} | {"metadata": about}
 
-    fields = ("id", "score", "content")
-    shaped = [{**{k: r.get(k) for k in fields}, "metadata": {k: v for k, v in r.items() if k not in (*fields, "qid", "rank", "ord") and v is not None}} for r in rows]
-    return json.dumps(shaped, indent=2, sort_keys=True, default=str)
+    return json.dumps(list(map(record, rows)), indent=2, sort_keys=True, default=str)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import TokenCount, quarter_tokens, split_lines
+from ..functions.text import ModelTokens, TokenCount, bound, quarter_tokens, split_lines
 from ..schema import SPLITTABLE_TYPES
 
 
@@ -14,8 +14,13 @@ def line_groups(counts: Column, max_tokens: int, overlap_tokens: int) -> Column:
 
     Lines are taken in order while they fit; a group that is full is closed and the next begins with
     the last lines of it that fit in the overlap, one at least if any overlap is wanted.  Lines are
-    never cut.  A fold over one row's lines: nothing is shuffled.
+    never cut.  A fold over one row's lines: nothing is shuffled.  The counts are bound to a lambda
+    variable first, as the fold looks back at them: an expression would be computed again for each line.
     """
+    return bound(counts, lambda c: _fold_groups(c, max_tokens, overlap_tokens))
+
+
+def _fold_groups(counts: Column, max_tokens: int, overlap_tokens: int) -> Column:
     span = "struct<first:int,last:int>"
     start = F.struct(F.array().cast(f"array<{span}>").alias("done"), F.lit(-1).alias("first"), F.lit(0).alias("sum"), F.lit(0).alias("at"))
 
@@ -51,6 +56,18 @@ def line_groups(counts: Column, max_tokens: int, overlap_tokens: int) -> Column:
     return F.aggregate(counts, start, step, close)
 
 
+def _parts(lines: Column, counts: Column, max_tokens: int, overlap_tokens: int) -> Column:
+    """array<struct<k, n, first, last, text>>: the parts of a chunk, one of no lines if it stays whole."""
+    part = lambda k, n, first, last, text: F.struct(k.cast("int").alias("k"), n.cast("int").alias("n"), first.cast("int").alias("first"), last.cast("int").alias("last"), text.alias("text"))
+    none = F.lit(None)
+
+    def rows(groups: Column) -> Column:
+        several = F.transform(groups, lambda g, i: part(i + 1, F.size(groups), g["first"], g["last"], F.array_join(F.slice(lines, g["first"] + 1, g["last"] - g["first"] + 1), "\n")))
+        return F.when(F.size(groups) > 1, several).otherwise(F.array(part(F.lit(1), F.lit(1), none, none, none.cast("string"))))
+
+    return bound(line_groups(counts, max_tokens, overlap_tokens), rows)
+
+
 def split_oversized(
     chunks: DataFrame,
     max_tokens: int = 700,
@@ -58,27 +75,34 @@ def split_oversized(
     count: TokenCount = quarter_tokens,
     types: tuple[str, ...] = SPLITTABLE_TYPES,
 ) -> DataFrame:
-    """chunks with each oversized one of a splittable type replaced by its parts."""
+    """chunks with each oversized one of a splittable type replaced by its parts.
+
+    Lines and groups live inside the generator's argument alone: whatever is filtered or selected
+    afterwards, a text is split once.
+    """
     if max_tokens <= 0:
         return chunks
     large = F.col("chunk_type").isin(*types) & (count(F.col("content")) > max_tokens)
-    lines = F.when(large, split_lines(F.col("content")))
-    cut = chunks.withColumn("_lines", lines).withColumn("_groups", F.when(F.col("_lines").isNotNull(), line_groups(F.transform("_lines", lambda x: count(x)), max_tokens, overlap_tokens)))
-    several = F.coalesce(F.size("_groups"), F.lit(0)) > 1
-    cut = cut.withColumn("_n", F.when(several, F.size("_groups")).otherwise(1))
-    out = cut.select("*", F.explode(F.sequence(F.lit(1), F.col("_n"))).alias("_k"))
-    part, g = F.col("_n") > 1, F.get("_groups", F.col("_k") - 1)
+    lines = F.when(large, split_lines(F.col("content"))).otherwise(F.array().cast("array<string>"))
+    if isinstance(count, ModelTokens):  # counted in Python, which no lambda can call
+        chunks_and = chunks.withColumn("_lines", lines).withColumn("_counts", count.each(F.col("_lines")))
+        parts = _parts(F.col("_lines"), F.col("_counts"), max_tokens, overlap_tokens)
+    else:
+        chunks_and = chunks
+        parts = bound(lines, lambda ls: _parts(ls, F.transform(ls, count), max_tokens, overlap_tokens))
+    out = chunks_and.select("*", F.explode(parts).alias("_p"))
+    p, part = F.col("_p"), F.col("_p.n") > 1
     first = F.coalesce("start_line", F.lit(1))
     changed = {
         "parent_chunk_id": F.when(part, F.col("id")).otherwise(F.col("parent_chunk_id")),
-        "id": F.when(part, F.concat_ws(":", "id", F.lit("part"), F.col("_k").cast("string"))).otherwise(F.col("id")),
-        "content": F.when(part, F.array_join(F.slice("_lines", g["first"] + 1, g["last"] - g["first"] + 1), "\n")).otherwise(F.col("content")),
-        "start_line": F.when(part, first + g["first"]).otherwise(F.col("start_line")),
-        "end_line": F.when(part, first + g["last"]).otherwise(F.col("end_line")),
+        "id": F.when(part, F.concat_ws(":", "id", F.lit("part"), p["k"].cast("string"))).otherwise(F.col("id")),
+        "content": F.when(part, p["text"]).otherwise(F.col("content")),
+        "start_line": F.when(part, first + p["first"]).otherwise(F.col("start_line")),
+        "end_line": F.when(part, first + p["last"]).otherwise(F.col("end_line")),
         "is_chunk_part": F.when(part, F.lit(True)).otherwise(F.col("is_chunk_part")),
-        "part_index": F.when(part, F.col("_k")).otherwise(F.col("part_index")),
-        "part_count": F.when(part, F.col("_n")).otherwise(F.col("part_count")),
+        "part_index": F.when(part, p["k"]).otherwise(F.col("part_index")),
+        "part_count": F.when(part, p["n"]).otherwise(F.col("part_count")),
     }
     if "ord" in chunks.columns:  # parts follow each other in the parent's place
-        changed["ord"] = F.col("ord") * 1_000_000 + F.col("_k") - 1
+        changed["ord"] = F.col("ord") * 1_000_000 + p["k"] - 1
     return out.withColumns(changed).select(*chunks.columns)

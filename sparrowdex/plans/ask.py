@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.predicates import MetadataFilters
-from ..functions.text import TokenCount, quarter_tokens
+from ..functions.text import TokenCount, token_counter
 from ..operators import evaluation
 from ..operators.hybrid import retrieve
-from ..operators.models import Embedder, HashedWords, Reranker, TermOverlap
+from ..operators.models import Embedder, Reranker, build_embedder, build_reranker
 from ..operators.prompt import prompts
 from ..settings import Settings
 from ..sources.golden import GoldenSet
@@ -19,10 +19,6 @@ from ..sources.repository import index_name
 from .index import index_repository, open_index
 
 
-def build_reranker(settings: Settings) -> Reranker | None:
-    return TermOverlap() if settings.reranker_enabled else None
-
-
 def query(
     spark: SparkSession,
     questions: DataFrame | str,
@@ -39,14 +35,14 @@ def query(
     s = settings or Settings()
     if isinstance(questions, str):
         questions = spark.createDataFrame([(0, questions)], "qid int, question string")
-    embedder = embedder or HashedWords(s.embedding_dimensions)
+    embedder = embedder or build_embedder(s)
     asked = questions.withColumn("qvec", embedder.column(F.col("question")))
     ix = open_index(spark, s, store, name)
     model = (reranker or build_reranker(s)) if rerank else None
     return retrieve(ix.chunks.table.read(), ix.vectors.table.read(), asked, k, filters, s, model, ix.vectors.metric)
 
 
-def ask(spark: SparkSession, repo: str, question: str, store: str = "cosine", settings: Settings | None = None, name: str | None = None, count: TokenCount = quarter_tokens, **options) -> str:
+def ask(spark: SparkSession, repo: str, question: str, store: str = "cosine", settings: Settings | None = None, name: str | None = None, count: TokenCount | None = None, **options) -> str:
     """A prompt for a question; the repository is indexed first if it has no index."""
     s = settings or Settings()
     name = name or index_name(repo)
@@ -54,10 +50,10 @@ def ask(spark: SparkSession, repo: str, question: str, store: str = "cosine", se
     if not (ix.chunks.has_data() and ix.vectors.has_data()):
         index_repository(spark, repo, store, s, name, options.get("embedder"), count)
     asked = spark.createDataFrame([(0, question)], "qid int, question string")
-    return prompts(asked, query(spark, asked, name, store, s, **options), s.max_prompt_context_tokens, count).first()["prompt"]
+    return prompts(asked, query(spark, asked, name, store, s, **options), s.max_prompt_context_tokens, count or token_counter(s.token_counter)).first()["prompt"]
 
 
-def run_eval(spark: SparkSession, golden: GoldenSet, settings: Settings | None = None, store: str | None = None, ks: tuple[int, ...] | None = None, count: TokenCount = quarter_tokens, **options) -> dict:
+def run_eval(spark: SparkSession, golden: GoldenSet, settings: Settings | None = None, store: str | None = None, ks: tuple[int, ...] | None = None, count: TokenCount | None = None, **options) -> dict:
     """Evaluate all questions of a golden set in one plan; a report that can be written as JSON."""
     s = settings or Settings()
     store, ks = store or golden.store, tuple(sorted(set(ks or golden.top_k)))

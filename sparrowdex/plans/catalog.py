@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..functions.predicates import MetadataFilters, filtered, path_prefix, searchable
 from ..operators import evaluation, hybrid, keyword, maintenance, prompt, split, vector
+from ..session import written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -190,7 +191,7 @@ _NORM = "CASE WHEN max(score) OVER w <= 0 THEN 0.0::double ELSE score / max(scor
 
 @query("max_normalize", f"WITH {_vec_sql()}, n AS (SELECT qid, id, round({_NORM}, 6) AS score FROM vs WINDOW w AS (PARTITION BY qid)) SELECT qid, id, score FROM n")
 def max_normalize(spark, sf_dir):
-    return _rounded(hybrid.max_normalize(vector.vector_scores(vectors(spark, sf_dir), question_vectors(spark, sf_dir)))).select("qid", "id", "score")
+    return _rounded(hybrid.max_normalize_all(vector.vector_scores(vectors(spark, sf_dir), question_vectors(spark, sf_dir)))).select("qid", "id", "score")
 
 
 def _fused_sql(k: int) -> str:
@@ -304,18 +305,20 @@ def split_oversized(spark, sf_dir):
     return _parts(spark, sf_dir).select("id", "start_line", "end_line", "part_index", "part_count")
 
 
-@query("neighbor_expand", _SPLIT_SQL + """, h AS (SELECT *, row_number() OVER (ORDER BY pid::bigint DESC, i) AS hit FROM parts WHERE n > 2 AND i % 3 = 2),
-e AS (SELECT hit, h.pid || ':part:' || j AS id, j, j <> i AS neighbour FROM (SELECT *, unnest(range(greatest(1, i - 1), least(n, i + 1) + 1)) AS j FROM h) h),
-k AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY hit, j) AS r FROM e)
-SELECT id, neighbour AS is_context_expansion, row_number() OVER (ORDER BY hit, j) AS rank FROM k WHERE r = 1""")
+# each split chunk is a question of its own; all its parts are hits, the last first
+@query("neighbor_expand", _SPLIT_SQL + """, h AS (SELECT *, row_number() OVER (PARTITION BY pid ORDER BY i DESC) AS hit FROM parts WHERE n > 1),
+e AS (SELECT pid, hit, pid || ':part:' || j AS id, j, j <> i AS neighbour FROM (SELECT *, unnest(range(greatest(1, i - 1), least(n, i + 1) + 1)) AS j FROM h) h),
+k AS (SELECT *, row_number() OVER (PARTITION BY pid, id ORDER BY hit, j) AS r FROM e)
+SELECT pid AS qid, id, neighbour AS is_context_expansion, row_number() OVER (PARTITION BY pid ORDER BY hit, j) AS rank FROM k WHERE r = 1""")
 def neighbor_expand(spark, sf_dir):
     from pyspark.sql.window import Window
 
-    parts = _parts(spark, sf_dir)
-    order = Window.partitionBy("qid").orderBy(F.col("parent_chunk_id").cast("long").desc(), "part_index")
-    hits = parts.filter("part_count > 2 and part_index % 3 = 2").withColumns({"qid": F.lit(1), "score": F.lit(1.0)}).withColumn("rank", F.row_number().over(order))
+    # written once: hits and their neighbours are read from it
+    parts = written(_parts(spark, sf_dir).filter("part_count > 1"), "parts")
+    order = Window.partitionBy("qid").orderBy(F.desc("part_index"))
+    hits = parts.withColumns({"qid": F.col("parent_chunk_id"), "score": F.lit(1.0)}).withColumn("rank", F.row_number().over(order))
     found = hybrid.expand_neighbours(hits, parts, 1)
-    return found.select("id", "is_context_expansion", F.col("rank").cast("long").alias("rank"))
+    return found.select("qid", "id", "is_context_expansion", F.col("rank").cast("long").alias("rank"))
 
 
 @query("dedupe_keep_first", """WITH e AS (SELECT conv_id AS qid, role AS id, turn AS hit, length(text) AS part FROM conversations),
@@ -429,6 +432,22 @@ def health_orphan_vectors(spark, sf_dir):
     return maintenance.missing(vectors(spark, sf_dir), table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id")))
 
 
+def _listed(spark, sf_dir) -> DataFrame:
+    """A manifest that lists the labelled documents, and an id that no chunk has for each."""
+    i = F.col("doc_id")
+    return table(spark, sf_dir, "labels").select(F.concat(F.lit("d"), i.cast("string")).alias("file_path"), F.array(i, -i - 1).alias("chunk_ids"))
+
+
+@query("health_missing_chunks", "SELECT DISTINCT -doc_id - 1 AS id FROM labels")
+def health_missing_chunks(spark, sf_dir):
+    return maintenance.health(chunks(spark, sf_dir), vectors(spark, sf_dir), _listed(spark, sf_dir), 64)["missing_chunks"]
+
+
+@query("health_unlisted_chunks", "SELECT doc_id AS id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def health_unlisted_chunks(spark, sf_dir):
+    return maintenance.health(chunks(spark, sf_dir), vectors(spark, sf_dir), _listed(spark, sf_dir), 64)["unlisted_chunks"]
+
+
 @query("wrong_dimensions", "SELECT vec_id AS id FROM embeddings WHERE len(embedding) - label // 9 <> 64")
 def wrong_dimensions(spark, sf_dir):
     # vectors of one label lose a component, so that some are of a wrong size
@@ -448,17 +467,18 @@ def index_name_slug(spark, sf_dir):
     return table(spark, sf_dir, "documents").select(tx.index_name(repo).alias("name")).distinct()
 
 
-@query("chunks_by_file", f"SELECT string_split(file_path, '/')[1] AS folder, string_agg(id, ',' ORDER BY id) AS ids, count(*) AS n FROM ({CHUNKS_SQL}) GROUP BY 1")
+@query("chunks_by_file", "SELECT conv_id AS file_path, array_to_string(list(conv_id || ':' || turn ORDER BY turn), ',') AS chunk_ids, count(*) AS n FROM conversations GROUP BY 1")
 def chunks_by_file(spark, sf_dir):
-    folder = F.substring_index("file_path", "/", 1).alias("folder")
-    ids = F.array_join(F.transform(F.sort_array(F.collect_list("id")), lambda x: x.cast("string")), ",")
-    return chunks(spark, sf_dir).groupBy(folder).agg(ids.alias("ids"), F.count("*").alias("n"))
+    # a conversation stands for a file, its turns for the chunks; a group is as large as one file
+    rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("file_path"), F.col("turn").alias("ord"), F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("id"))
+    found = maintenance.chunks_by_file(rows)
+    return found.select("file_path", F.array_join("chunk_ids", ",").alias("chunk_ids"), F.size("chunk_ids").cast("long").alias("n"))
 
 
 # --- evaluation ------------------------------------------------------------------------------------
 
 # a question for each source: its documents of good quality are relevant, results come by length
-_EVAL_SQL = """rel AS (SELECT DISTINCT source AS qid, doc_id AS id FROM documents JOIN labels USING (doc_id) WHERE quality = 1 AND n_chars % 3 = 0),
+_EVAL_SQL = """rel AS (SELECT DISTINCT source AS qid, doc_id AS id FROM documents JOIN labels USING (doc_id) WHERE quality = 1),
 got AS (SELECT source AS qid, doc_id AS id, row_number() OVER (PARTITION BY source ORDER BY n_chars, doc_id) AS rank FROM documents QUALIFY rank <= 12),
 hit AS (SELECT g.*, r.id IS NOT NULL AS hit FROM got g LEFT JOIN rel r USING (qid, id)),
 ks AS (SELECT unnest([1, 5, 10]) AS k), qs AS (SELECT DISTINCT source AS qid FROM documents), nr AS (SELECT qid, count(*) AS n FROM rel GROUP BY 1),
@@ -476,7 +496,7 @@ def _metrics(spark, sf_dir) -> DataFrame:
 
     docs = table(spark, sf_dir, "documents").withColumnsRenamed({"source": "qid", "doc_id": "id"})
     good = table(spark, sf_dir, "labels").filter("quality = 1").select(F.col("doc_id").alias("id"))
-    relevant = docs.filter("n_chars % 3 = 0").join(good, "id").select("qid", "id").distinct()
+    relevant = docs.join(good, "id").select("qid", "id").distinct()
     got = docs.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy("n_chars", "id"))).filter("rank <= 12").select("qid", "id", "rank")
     return evaluation.question_metrics(docs.select("qid"), relevant, got, [1, 5, 10])
 
@@ -518,58 +538,84 @@ def text_chunks(spark, sf_dir):
     return parse_files(files).select("symbol", "start_line", "end_line", "content")
 
 
-@query("markdown_sections", """WITH d AS (SELECT doc_id, string_split('# ' || lang || chr(10) || replace(text, chr(10), chr(10) || '## part' || chr(10)), chr(10)) AS ls FROM documents),
-l AS (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS n FROM d), h AS (SELECT doc_id, n, ls[n] AS head, len(ls) AS last FROM l WHERE ls[n] = '## part' OR n = 1)
-SELECT doc_id AS id, CASE WHEN head = '## part' THEN 'part' ELSE head[3:] END AS heading, CASE WHEN head = '## part' THEN 2 ELSE 1 END AS heading_level, n::int AS start_line,
-  (coalesce(lead(n) OVER (PARTITION BY doc_id ORDER BY n) - 1, last - CASE WHEN ends_with((SELECT text FROM documents x WHERE x.doc_id = h.doc_id), chr(10)) THEN 1 ELSE 0 END))::int AS end_line FROM h""")
+# a title that is closed, a fence that hides a heading, and a section for each line of the text
+@query("markdown_sections", """WITH d AS (SELECT doc_id, lang, ends_with(text, chr(10)) AS open_end, string_split('# ' || lang || ' ##' || chr(10) || '```' || chr(10) || '## no' || chr(10) || '```' || chr(10) || replace(text, chr(10), chr(10) || '## part' || chr(10)), chr(10)) AS ls FROM documents),
+l AS (SELECT *, unnest(range(1, len(ls) + 1)) AS n FROM d), h AS (SELECT *, ls[n] = '## part' AS inner_one, len(ls) - CASE WHEN open_end THEN 1 ELSE 0 END AS last FROM l WHERE ls[n] = '## part' OR n = 1)
+SELECT doc_id AS id, CASE WHEN inner_one THEN 'part' ELSE lang END AS heading, CASE WHEN inner_one THEN 2 ELSE 1 END AS heading_level, CASE WHEN inner_one THEN lang ELSE '' END AS parents,
+  n::int AS start_line, (coalesce(lead(n) OVER (PARTITION BY doc_id ORDER BY n) - 1, last))::int AS end_line FROM h""")
 def markdown_sections(spark, sf_dir):
     from ..chunking.parse import parse_files
 
-    body = F.concat(F.lit("# "), "lang", F.lit("\n"), F.replace("text", F.lit("\n"), F.lit("\n## part\n")))
+    body = F.concat(F.lit("# "), "lang", F.lit(" ##\n```\n## no\n```\n"), F.replace("text", F.lit("\n"), F.lit("\n## part\n")))
     files = table(spark, sf_dir, "documents").select(F.concat(F.col("doc_id").cast("string"), F.lit(".md")).alias("file_path"), body.cast("binary").alias("content"))
-    return parse_files(files).select(F.regexp_replace("file_path", "\\.md", "").cast("long").alias("id"), "heading", "heading_level", "start_line", "end_line")
-
+    found = parse_files(files)
+    return found.select(F.regexp_replace("file_path", "\\.md", "").cast("long").alias("id"), "heading", "heading_level", F.array_join("parent_headings", "/").alias("parents"), "start_line", "end_line")
 
-_PYTHON = "import os\n\nclass C{0}:\n    X = 1\n\n    def run(self):\n        return os.getcwd()\n\ndef helper{0}():\n    return C{0}()\n"
-_SCRIPT = "import a from 'a';\nexport class C{0} {{\n  run() {{ return a.b(); }}\n}}\nexport const f{0} = async (x) => {{\n  return x;\n}};\n"
 
+# Source files that differ from document to document: 0 to 3 methods, async or not, with a docstring or without.
+_PYTHON = r"""concat('import os\nfrom lib', i, ' import tool', i % 5, '\n\n@mark\nclass Box', i, '(Base):\n    "Holds ', lang, '."\n    SIZE = ', i, '\n\n',
+  array_join(transform(slice(array(0, 1, 2), 1, k), j -> concat('    def get', j, '(self, x):\n        return tool', j, '(x) + os.stat(x)\n\n')), ''),
+  if(i % 2 = 0, 'async ', ''), 'def main', i, '():\n', if(i % 3 = 0, concat('    "Runs ', source, '."\n'), ''), '    return Box', i, '()', if(k > 0, '.get0(1)', ''), '\n')"""
+_SCRIPT = r"""concat('import a', i, " from 'a';\n\n/** Keeps ", lang, '. */\nexport class Box', i, ' extends Base {\n  size = ', i, ';\n',
+  array_join(transform(slice(array(0, 1, 2), 1, k), j -> concat('  get', j, '(x) { return a', i, '.read(x); }\n')), ''), '}\n\n// Starts ', source, '.\nexport const run', i, ' = ',
+  if(i % 2 = 0, 'async ', ''), '(x) => {\n  return new Box', i, '(x);\n};\n', if(i % 3 = 0, concat('export interface Shape', i, ' {\n  id: number;\n}\n'), ''))"""
+_PARSED = ("file_path", "chunk_type", "symbol", "start_line", "end_line", "signature", "docstring", "is_async", "calls")
 
-def _sources(spark, sf_dir, template: str, extension: str) -> DataFrame:
-    """A source file for each document, named after it."""
-    i = F.col("doc_id").cast("string")
-    parts = template.replace("{{", "{").replace("}}", "}").split("{0}")
-    text = F.concat(*[x for k, p in enumerate(parts) for x in ((F.lit(p),) if k == 0 else (i, F.lit(p)))])
-    return table(spark, sf_dir, "documents").select(F.concat(F.lit("src/m"), i, F.lit(extension)).alias("file_path"), text.cast("binary").alias("content"))
 
+def _parsed(spark, sf_dir, template: str, extension: str) -> DataFrame:
+    """The rows of a source file for each document."""
+    from ..chunking.parse import parse_files
 
-def _rows_sql(rows: list[tuple[str, str, int, int]], extension: str, keep: str) -> str:
-    head = f"SELECT 'src/m' || doc_id || '{extension}' AS file_path, kind AS chunk_type, replace(replace(symbol, '@F', 'src/m' || doc_id || '{extension}'), '@', doc_id::varchar) AS symbol, a::int AS start_line, b::int AS end_line FROM documents, "
-    return head + "(VALUES " + ", ".join(f"('{k}', '{s}', {a}, {b})" for k, s, a, b in rows) + f") r(kind, symbol, a, b) WHERE {keep}"
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("i"), (F.col("doc_id") % 4).cast("int").alias("k"), "lang", "source")
+    files = docs.select(F.concat(F.lit("src/m"), F.col("i").cast("string"), F.lit(extension)).alias("file_path"), F.expr(template).cast("binary").alias("content"))
+    return parse_files(files).withColumn("calls", F.array_join("calls", " ")).select(*_PARSED)
 
 
-@query("python_chunks", _rows_sql([("file_metadata", "@F", 1, 1), ("imports", "imports", 1, 1), ("class", "C@", 3, 4), ("method", "C@.run", 6, 7), ("function", "helper@", 9, 10)], ".py", "true"))
-def python_chunks(spark, sf_dir):
-    from ..chunking.parse import parse_files
+def _parsed_sql(extension: str, *rows: str) -> str:
+    """Each row: type, symbol, start, end, signature, docstring, is_async, calls, and a condition."""
+    head = f"WITH d AS (SELECT doc_id AS i, (doc_id % 4)::int AS k, lang, source, 'src/m' || doc_id || '{extension}' AS path FROM documents), m AS (SELECT *, unnest(range(0, least(k, 3))) AS j FROM d)\n"
+    return head + "\nUNION ALL ".join(f"SELECT path AS file_path, {kind} AS chunk_type, {symbol} AS symbol, ({a})::int AS start_line, ({b})::int AS end_line, {sig} AS signature, {doc} AS docstring, {asy} AS is_async, {calls} AS calls FROM {where}" for kind, symbol, a, b, sig, doc, asy, calls, where in (r.split(" ~ ") for r in rows))
 
-    return parse_files(_sources(spark, sf_dir, _PYTHON, ".py")).select("file_path", "chunk_type", "symbol", "start_line", "end_line")
 
-
-@query("js_chunks", _rows_sql([("file_metadata", "@F", 1, 1), ("imports", "imports", 1, 1), ("class", "C@", 2, 2), ("method", "C@.run", 3, 3), ("function", "f@", 5, 7)], ".js", "true"))
+@query("python_chunks", _parsed_sql(
+    ".py",
+    "'file_metadata' ~ path ~ 1 ~ 1 ~ NULL ~ NULL ~ NULL ~ NULL ~ d",
+    "'imports' ~ 'imports' ~ 1 ~ 2 ~ NULL ~ NULL ~ NULL ~ NULL ~ d",
+    "'class' ~ 'Box' || i ~ 4 ~ 7 ~ 'class Box' || i || '(Base):' ~ 'Holds ' || lang || '.' ~ false ~ '' ~ d",
+    "'method' ~ 'Box' || i || '.get' || j ~ 9 + 3 * j ~ 10 + 3 * j ~ 'def get' || j || '(self, x):' ~ '' ~ false ~ 'os.stat tool' || j ~ m",
+    "'function' ~ 'main' || i ~ 9 + 3 * k ~ 10 + 3 * k + CASE WHEN i % 3 = 0 THEN 1 ELSE 0 END ~ CASE WHEN i % 2 = 0 THEN 'async ' ELSE '' END || 'def main' || i || '():' ~ CASE WHEN i % 3 = 0 THEN 'Runs ' || source || '.' ELSE '' END ~ i % 2 = 0 ~ 'Box' || i || CASE WHEN k > 0 THEN ' Box' || i || '().get0' ELSE '' END ~ d",
+))
+def python_chunks(spark, sf_dir):
+    return _parsed(spark, sf_dir, _PYTHON, ".py")
+
+
+@query("js_chunks", _parsed_sql(
+    ".ts",
+    "'file_metadata' ~ path ~ 1 ~ 1 ~ NULL ~ NULL ~ NULL ~ NULL ~ d",
+    "'imports' ~ 'imports' ~ 1 ~ 1 ~ NULL ~ NULL ~ NULL ~ NULL ~ d",
+    "'class' ~ 'Box' || i ~ 4 ~ 5 ~ 'class Box' || i || ' extends Base' ~ 'Keeps ' || lang || '.' ~ false ~ '' ~ d",
+    "'method' ~ 'Box' || i || '.get' || j ~ 6 + j ~ 6 + j ~ 'get' || j || '(x)' ~ '' ~ false ~ 'a' || i || '.read' ~ m",
+    "'function' ~ 'run' || i ~ 9 + k ~ 11 + k ~ 'run' || i || ' = ' || CASE WHEN i % 2 = 0 THEN 'async ' ELSE '' END || '(x) => {' ~ 'Starts ' || source || '.' ~ i % 2 = 0 ~ 'new Box' || i ~ d",
+    "'ts_interface' ~ 'Shape' || i ~ 12 + k ~ 14 + k ~ 'interface Shape' || i ~ '' ~ false ~ '' ~ d WHERE i % 3 = 0",
+))
 def js_chunks(spark, sf_dir):
-    from ..chunking.parse import parse_files
+    return _parsed(spark, sf_dir, _SCRIPT, ".ts")
 
-    return parse_files(_sources(spark, sf_dir, _SCRIPT, ".js")).select("file_path", "chunk_type", "symbol", "start_line", "end_line")
 
-
-@query("embed_plugin")
+# the first eight hex digits of a term's MD5 give its place and sign
+@query("embed_plugin", f"""WITH t AS (SELECT doc_id AS id, unnest({TERMS_SQL.replace("content", "text")}) AS w FROM documents),
+h AS (SELECT id, ('0x' || md5(w)[1:8])::bigint AS h FROM t), s AS (SELECT id, (h // 2) % 64 AS place, sum(CASE WHEN h % 2 = 1 THEN 1 ELSE -1 END) AS v FROM h GROUP BY 1, 2),
+l AS (SELECT id, sqrt(sum(v * v)) AS length FROM s GROUP BY 1)
+SELECT id, place::int AS dimension, round((v / length)::float::double, 6) AS value FROM s JOIN l USING (id) WHERE v <> 0""")
 def embed_plugin(spark, sf_dir):
     from ..operators.models import HashedWords
 
-    return chunks(spark, sf_dir).select("id", HashedWords(64).column(F.col("content")).alias("embedding"))
+    found = chunks(spark, sf_dir).select("id", F.posexplode(HashedWords(64).column(F.col("content"))).alias("dimension", "v"))
+    return found.filter("v <> 0").select("id", "dimension", F.round(F.col("v").cast("double"), 6).alias("value"))
 
 
 _RERANK_SQL = f"""WITH {_fused_sql(5)}, a AS (SELECT r.qid, r.id, r.rank, list_distinct({TERMS_SQL.replace("content", "q.question")}) AS asked,
-  {TERMS_SQL.replace("content", "('File: ' || c.file_path || chr(10) || 'Symbol: ' || c.symbol || chr(10) || 'Type: ' || c.chunk_type || chr(10) || chr(10) || c.content)")} AS ts
+  {TERMS_SQL.replace("content", "('file: ' || c.file_path || chr(10) || 'symbol: ' || c.symbol || chr(10) || 'type: ' || c.chunk_type || chr(10) || chr(10) || c.content)")} AS ts
   FROM ranked r JOIN q USING (qid) JOIN c USING (id)),
 s AS (SELECT qid, id, rank, round(len(list_intersect(asked, ts))::double / greatest(len(asked), 1), 6) AS score FROM a)
 SELECT qid, id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, rank) AS rank FROM s QUALIFY row_number() OVER (PARTITION BY qid ORDER BY score DESC, rank) <= 5"""
@@ -585,14 +631,34 @@ def rerank_plugin(spark, sf_dir):
     return best.select("qid", "id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
-@query("prompt_blocks", """WITH r AS (SELECT conv_id AS qid, turn, text, row_number() OVER (PARTITION BY conv_id ORDER BY role = 'system', length(text) / 16.0::double DESC, turn) AS pos FROM conversations)
-SELECT qid, pos, text AS content FROM r""")
-def prompt_blocks(spark, sf_dir):
-    from ..operators.prompt import context_blocks
+_PROMPT_BUDGET = 300
+_TURN_BLOCKS = """b AS (SELECT *, '[Chunk ' || pos || '] score=' || printf('%.4f', score) || chr(10) || 'Role: ' || CASE WHEN extra THEN 'neighbor context' ELSE 'retrieved match' END || chr(10) || 'Location: c' || qid || '.txt:' || turn || '-' || turn + 1
+  || chr(10) || 'Symbol: ' || role || chr(10) || 'Type: text_file' || chr(10) || 'Content:' || chr(10) || text AS block
+  FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY extra, score DESC, turn) AS pos FROM (SELECT conv_id AS qid, turn, role, text, role = 'system' AS extra, length(text) / 16.0::double AS score FROM conversations)))"""
 
-    rows = table(spark, sf_dir, "conversations").select(
+
+def _turns(spark, sf_dir) -> DataFrame:
+    """Turns as ranked chunks of their conversation; scores are sixteenths, so that four decimals are exact."""
+    return table(spark, sf_dir, "conversations").select(
         F.col("conv_id").alias("qid"), (F.col("turn") + 1).alias("rank"), (F.length("text") / 16.0).alias("score"), (F.col("role") == "system").alias("is_context_expansion"),
-        F.lit("f").alias("file_path"), F.lit(1).alias("start_line"), F.lit(2).alias("end_line"), F.lit("s").alias("symbol"), F.lit("function").alias("chunk_type"), F.col("text").alias("content"),
+        F.concat(F.lit("c"), F.col("conv_id").cast("string"), F.lit(".txt")).alias("file_path"), F.col("turn").alias("start_line"), (F.col("turn") + 1).alias("end_line"),
+        F.col("role").alias("symbol"), F.lit("text_file").alias("chunk_type"), F.col("text").alias("content"),
     )
-    blocks = context_blocks(rows)
-    return blocks.select("qid", F.col("at").cast("long").alias("pos"), F.regexp_extract("block", "(?s)\\nContent:\\n(.*)\\z", 1).alias("content"))
+
+
+@query("prompt_blocks", f"WITH {_TURN_BLOCKS} SELECT qid, pos, block FROM b")
+def prompt_blocks(spark, sf_dir):
+    return prompt.context_blocks(_turns(spark, sf_dir)).select("qid", F.col("at").cast("long").alias("pos"), "block")
+
+
+@query("prompt_text", f"""WITH RECURSIVE {_TURN_BLOCKS}, n AS (SELECT qid, pos, block, greatest(1, length(block) // 4) AS n FROM b),
+s AS (SELECT qid, pos, block, n <= {_PROMPT_BUDGET} AS fit, CASE WHEN n <= {_PROMPT_BUDGET} THEN n ELSE 0 END AS used FROM n WHERE pos = 1
+UNION ALL SELECT n.qid, n.pos, n.block, s.used + n.n <= {_PROMPT_BUDGET}, CASE WHEN s.used + n.n <= {_PROMPT_BUDGET} THEN s.used + n.n ELSE s.used END FROM s JOIN n ON n.qid = s.qid AND n.pos = s.pos + 1),
+g AS (SELECT qid, coalesce(string_agg(block, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY pos) FILTER (fit), '') AS kept, count(*) FILTER (fit) AS n_blocks, count(*) FILTER (NOT fit) AS n_omitted FROM s GROUP BY 1)
+SELECT qid, n_blocks::int AS n_blocks, n_omitted::int AS n_omitted, 'You are answering questions about a GitHub repository.' || chr(10) || 'Use only the retrieved context below. Cite file paths and line numbers when possible.' || chr(10) || chr(10) || 'Question:' || chr(10)
+  || 'what of ' || qid || '?' || chr(10) || chr(10) || 'Retrieved context:' || chr(10) || kept
+  || CASE WHEN n_omitted > 0 THEN chr(10) || chr(10) || 'Note: ' || n_omitted || ' retrieved context chunk(s) were omitted due to the prompt token budget.' ELSE '' END || chr(10) || chr(10) || 'Answer:' || chr(10) AS prompt FROM g""")
+def prompt_text(spark, sf_dir):
+    turns = _turns(spark, sf_dir)
+    asked = turns.select("qid").distinct().withColumn("question", F.concat(F.lit("what of "), F.col("qid").cast("string"), F.lit("?")))
+    return prompt.prompts(asked, turns, _PROMPT_BUDGET).select("qid", "n_blocks", "n_omitted", "prompt")

@@ -2,22 +2,24 @@
 
 from __future__ import annotations
 
-import os
+import logging
+import time
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..chunking.parse import create_chunks, in_file_order
-from ..functions.text import TokenCount, quarter_tokens
+from ..functions.text import TokenCount, token_counter
 from ..operators import maintenance
-from ..operators.models import Embedder, HashedWords
+from ..operators.models import Embedder, build_embedder
 from ..settings import Settings
 from ..sources import files as source_files
 from ..sources.repository import current_commit, index_name, load_repository
 from ..sources.stores import STORES, ChunkStore, Manifest, ParquetVectorStore, build_chunk_store, build_vector_store, vector_metadata
 
 _SHOWN = 20
+_log = logging.getLogger(__name__)
 
 
 @dataclass
@@ -29,7 +31,7 @@ class Index:
 
 
 def open_index(spark: SparkSession, settings: Settings, store: str, name: str) -> Index:
-    folder = os.path.join(settings.indexes_dir, name)
+    folder = f"{settings.indexes_dir}/{name}"
     return Index(name, build_chunk_store(spark, settings.indexes_dir, name), build_vector_store(spark, store, settings.indexes_dir, name), Manifest(spark, folder))
 
 
@@ -41,6 +43,7 @@ def fingerprint(settings: Settings, store: str) -> dict:
         "embedding_dimensions": settings.embedding_dimensions,
         "max_chunk_tokens": settings.max_chunk_tokens,
         "chunk_overlap_tokens": settings.chunk_overlap_tokens,
+        "token_counter": settings.token_counter,
         "supported_extensions": list(settings.supported_extensions),
         "searchable_chunk_types": list(settings.searchable_chunk_types),
     }
@@ -48,7 +51,7 @@ def fingerprint(settings: Settings, store: str) -> dict:
 
 def embed_chunks(chunks: DataFrame, embedder: Embedder, settings: Settings) -> DataFrame:
     wanted = chunks.filter(F.col("chunk_type").isin(*settings.searchable_chunk_types))
-    return vector_metadata(wanted).join(wanted.select("id", embedder.column(F.col("content")).alias("embedding")), "id")
+    return vector_metadata(wanted, embedder.column(F.col("content")).alias("embedding"))
 
 
 def index_repository(
@@ -58,18 +61,18 @@ def index_repository(
     settings: Settings | None = None,
     name: str | None = None,
     embedder: Embedder | None = None,
-    count: TokenCount = quarter_tokens,
+    count: TokenCount | None = None,
 ) -> int:
     """Bring the index of a repository up to date; the number of chunks it then holds.
 
     Only files that are new or have changed are parsed and embedded.  Vectors and chunks are new
     versions; the manifest comes last, so a run that dies is repeated by the next one.
     """
-    s = settings or Settings()
+    s, began = settings or Settings(), time.monotonic()
     name = name or index_name(repo)
     root = load_repository(repo, s.repositories_dir)
     ix = open_index(spark, s, store, name)
-    embedder = embedder or HashedWords(s.embedding_dimensions)
+    embedder = embedder or build_embedder(s)
     found = source_files.with_hash(source_files.discover(spark, root, s))
     hashes = found.select("file_path", "content_hash")
     config, listed = fingerprint(s, store), ix.manifest.files()
@@ -88,14 +91,16 @@ def index_repository(
         old = maintenance.delete(ix.vectors.table.read(), stale).join(chunks.select("id"), "id", "left_anti")
         renewed_chunks = ix.chunks.table.read().join(chunks.select("id").distinct(), "id", "left_semi")
         ix.vectors.table.replace(old.unionByName(embed_chunks(renewed_chunks, embedder, s).select(old.columns)))
-        ids = chunks.groupBy("file_path").agg(F.array_sort(F.collect_set("id")).alias("chunk_ids"))
+        ids = maintenance.chunks_by_file(chunks.select("file_path", "id", "ord"))
         renewed = hashes.join(fresh, "file_path", "left_semi").join(ids, "file_path", "left").withColumn("chunk_ids", F.coalesce("chunk_ids", F.array().cast("array<string>")))
         same = listed.join(diff.filter("status = 'same'").select("file_path"), "file_path", "left_semi")
         ix.manifest.save(same.unionByName(renewed), config)
         chunks.unpersist()
     finally:
         diff.unpersist()
-    return ix.chunks.table.read().count()
+    n = ix.chunks.table.read().count()
+    _log.info("index %s: %d chunks after %.2f s", name, n, time.monotonic() - began)
+    return n
 
 
 def index_info(spark: SparkSession, settings: Settings, store: str, name: str) -> dict:

@@ -18,11 +18,13 @@ CHUNK_TYPES = (
     "ts_interface",
     "type_alias",
 )
+# Which of them are searched and split, the files that are read, the folders that are not.
 SEARCHABLE_TYPES = ("class", "function", "method", "markdown_section", "text_file", "ts_interface", "type_alias", "enum")
 SPLITTABLE_TYPES = tuple(t for t in SEARCHABLE_TYPES if t != "class")
 SUPPORTED_EXTENSIONS = (".py", ".js", ".jsx", ".ts", ".tsx", ".md", ".txt")
 IGNORED_DIRS = (".git", ".venv", "venv", "node_modules", "dist", "build", "coverage", "target", "__pycache__")
 
+# Names of the chunk columns, as stored metadata uses them.
 _COLUMNS: list[tuple[str, T.DataType]] = [
     ("id", T.StringType()),
     ("content", T.StringType()),
@@ -72,3 +74,5 @@ MANIFEST = T.StructType(
     [T.StructField("file_path", T.StringType()), T.StructField("content_hash", T.StringType()), T.StructField("chunk_ids", T.ArrayType(T.StringType()))]
 )
 FILES = T.StructType([T.StructField("file_path", T.StringType()), T.StructField("content", T.BinaryType())])
+#: One row: the settings that an index depends on, as JSON.
+CONFIG = T.StructType([T.StructField("config", T.StringType())])

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import os
-from dataclasses import dataclass, fields
+from dataclasses import Field, dataclass, fields
 from pathlib import Path
 
 from .schema import IGNORED_DIRS, SEARCHABLE_TYPES, SPLITTABLE_TYPES, SUPPORTED_EXTENSIONS
@@ -13,11 +13,16 @@ _TRUE = {"1", "true", "yes", "on"}
 
 @dataclass(frozen=True)
 class Settings:
+    """The names of the fields and of the variables that set them, as existing .env files use them."""
+
     base_dir: str = "."
     repositories_dir: str = "data/repositories"
     indexes_dir: str = "indexes"
+    eval_golden_dir: str = "eval/golden"
     eval_results_dir: str = "eval/results"
-    collection_name: str = "default"
+    store: str = "cosine"
+    index_name: str | None = None
+    collection_name: str = "repository"
     embedding_model: str = "hashed-words"
     embedding_dimensions: int = 384
     reranker_model: str = "term-overlap"
@@ -29,22 +34,18 @@ class Settings:
     chunk_overlap_tokens: int = 100
     context_window_parts: int = 1
     max_prompt_context_tokens: int = 3000
+    token_counter: str = "quarter"
     ignored_dirs: tuple[str, ...] = IGNORED_DIRS
     vector_weight: float = 0.25
     keyword_weight: float = 0.75
 
 
-@dataclass(frozen=True)
-class CliDefaults:
-    store: str = "cosine"
-    index_name: str | None = None
-    no_reranker: bool = False
-
-
 #: Fields that the environment may set, by variable.
 ENVIRONMENT = {
     "RAG_" + name.upper(): name
     for name in (
+        "store",
+        "index_name",
         "collection_name",
         "embedding_model",
         "embedding_dimensions",
@@ -54,6 +55,7 @@ ENVIRONMENT = {
         "chunk_overlap_tokens",
         "context_window_parts",
         "max_prompt_context_tokens",
+        "token_counter",
         "eval_results_dir",
     )
 }
@@ -79,24 +81,15 @@ def read_env_file(path: str | Path) -> dict[str, str]:
     return found
 
 
-def _environment(env_file: str | Path | None) -> dict[str, str]:
-    merged = read_env_file(env_file or ".env") | dict(os.environ)
-    return {k: v for k, v in merged.items() if v != ""}
+def _typed(field: Field, value: str):
+    """A variable's text as the type of the field's default; fields without one are texts."""
+    kind = type(field.default)
+    return as_bool(value) if kind is bool else kind(value) if kind in (int, float) else value
 
 
 def load_settings(env_file: str | Path | None = None, **explicit) -> Settings:
-    env, kinds = _environment(env_file), {f.name: type(f.default) for f in fields(Settings)}
-    values = {}
-    for variable, name in ENVIRONMENT.items():
-        if variable in env:
-            values[name] = as_bool(env[variable]) if kinds[name] is bool else kinds[name](env[variable])
+    """All settings, also those that the command line takes its defaults from; empty variables count as unset."""
+    given = read_env_file(env_file or ".env") | dict(os.environ)
+    known = {f.name: f for f in fields(Settings)}
+    values = {name: _typed(known[name], given[variable]) for variable, name in ENVIRONMENT.items() if given.get(variable)}
     return Settings(**values | explicit)
-
-
-def cli_defaults(env_file: str | Path | None = None) -> CliDefaults:
-    env = _environment(env_file)
-    return CliDefaults(
-        store=env.get("RAG_STORE", "cosine"),
-        index_name=env.get("RAG_INDEX_NAME"),
-        no_reranker="RAG_RERANKER_ENABLED" in env and not as_bool(env["RAG_RERANKER_ENABLED"]),
-    )

@@ -71,15 +71,27 @@ def discover(spark: SparkSession, root: str, settings: Settings | None = None) -
     """file_path, content of the supported files below root.
 
     Folders of ignored names are skipped wherever they lie below root; what root itself is called
-    does not matter.  Extensions are compared in lower case.
+    does not matter.  Extensions are compared in lower case.  A root with a scheme (hdfs://, s3a://, ...)
+    is read by Spark's own source of whole files, which passes over names that begin with _ or a dot.
     """
     s = settings or Settings()
+    if "://" in root:
+        return _in_store(spark, root.rstrip("/"), s)
     ship(spark)
     spark.dataSource.register(RepositoryFiles)
     options = {"path": os.path.abspath(root), "extensions": ",".join(s.supported_extensions), "ignored": ",".join(s.ignored_dirs)}
     return spark.read.format("repository_files").options(**options).load()
 
 
+def _in_store(spark: SparkSession, root: str, s: Settings) -> DataFrame:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    full = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(at).toString()
+    either_case = ("".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in x) for x in s.supported_extensions)
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*{" + ",".join(either_case) + "}").load(root)
+    rows = found.select(F.substring("path", len(full) + 2, 1 << 20).alias("file_path"), "content")
+    return rows.filter(~F.arrays_overlap(F.split("file_path", "/"), F.array(*map(F.lit, s.ignored_dirs))))
+
+
 def in_path_order(files: DataFrame) -> DataFrame:
     """By path, folder by folder: `a/z` comes before `a.b`."""
     return files.orderBy(F.split("file_path", "/"))

@@ -1,4 +1,4 @@
-"""Index tables as immutable versions: each change writes a new version, then moves one pointer.
+"""Index tables as immutable versions: each change writes a new version, then marks it.
 
 Readers of a version never see it change; a writer that dies leaves the old version in force.
 """
@@ -7,56 +7,72 @@ from __future__ import annotations
 
 import json
 import os
-import shutil
 import uuid
 from abc import ABC, abstractmethod
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.predicates import MetadataFilters, filtered
 from ..operators import maintenance
 from ..operators.vector import vector_search
-from ..schema import CHUNK, MANIFEST, VECTOR, VECTOR_METADATA
+from ..schema import CHUNK, CONFIG, MANIFEST, VECTOR, VECTOR_METADATA
+
+
+#: Written into a version's folder when all of the version is there; readers of Parquet skip the name.
+_DONE = "_DONE"
+
+
+def located(folder: str) -> str:
+    """A folder as an address for Spark and Hadoop: paths without a scheme are this machine's."""
+    return folder if "://" in folder or folder.startswith("file:") else f"file://{os.path.abspath(folder)}"
 
 
 class VersionedTable:
-    """A Parquet table below a folder that driver and executors share."""
+    """A Parquet table below a folder that driver and executors share, in any file system that Spark writes.
+
+    A version counts from the moment its mark is there, which is one creation of an empty file; the last
+    marked one is in force.  Nothing is renamed, so object stores will do.
+    """
 
     def __init__(self, spark: SparkSession, folder: str, schema: T.StructType, partition_by: tuple[str, ...] = ()):
-        self.spark, self.folder, self.schema, self.partition_by = spark, folder, schema, partition_by
+        self.spark, self.folder, self.schema, self.partition_by = spark, located(folder), schema, partition_by
+
+    def _path(self, *parts: str):
+        return self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path("/".join((self.folder, *parts)))
 
     @property
-    def _pointer(self) -> str:
-        return os.path.join(self.folder, "CURRENT")
+    def _files(self):
+        return self._path().getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
+    def versions(self) -> list[str]:
+        """Names of the marked versions, oldest first."""
+        fs = self._files
+        found = fs.globStatus(self._path("*", _DONE)) or []
+        return sorted(status.getPath().getParent().getName() for status in found)
 
     def version(self) -> str | None:
-        try:
-            with open(self._pointer) as f:
-                return f.read().strip() or None
-        except FileNotFoundError:
-            return None
+        return (self.versions() or [None])[-1]
 
     def read(self) -> DataFrame:
         v = self.version()
-        return self.spark.read.schema(self.schema).parquet(os.path.join(self.folder, v)) if v else self.spark.createDataFrame([], self.schema)
+        return self.spark.read.schema(self.schema).parquet(f"{self.folder}/{v}") if v else self.spark.createDataFrame([], self.schema)
 
     def has_data(self) -> bool:
         return not self.read().isEmpty()
 
     def replace(self, rows: DataFrame) -> None:
-        """Write rows as a new version and make it the current one; versions before the last are deleted."""
-        old, new = self.version(), uuid.uuid4().hex
-        rows.select(self.schema.names).write.partitionBy(*self.partition_by).parquet(os.path.join(self.folder, new))
-        staged = f"{self._pointer}.{new}"
-        with open(staged, "w") as f:
-            f.write(new)
-        os.replace(staged, self._pointer)
-        for name in os.listdir(self.folder):
-            full = os.path.join(self.folder, name)
-            if os.path.isdir(full) and name not in (old, new):
-                shutil.rmtree(full, ignore_errors=True)
+        """Write rows as a new version and mark it; versions before the last are deleted."""
+        old = self.versions()
+        number = int(old[-1].split("-")[0]) + 1 if old else 1
+        new = f"{number:012d}-{uuid.uuid4().hex}"
+        rows.select(self.schema.names).write.partitionBy(*self.partition_by).parquet(f"{self.folder}/{new}")
+        fs = self._files
+        fs.create(self._path(new, _DONE), True).close()
+        for name in old[:-1]:
+            fs.delete(self._path(name, _DONE), False)  # no reader may find half a version
+            fs.delete(self._path(name), True)
 
 
 class ChunkStore:
@@ -131,39 +147,34 @@ STORES = {"cosine": "cosine", "l2": "l2", "simple": "cosine", "chroma": "l2"}
 def build_vector_store(spark: SparkSession, kind: str, indexes_dir: str, name: str) -> ParquetVectorStore:
     if kind not in STORES:
         raise ValueError(f"unknown store {kind!r}: one of {', '.join(sorted(STORES))}")
-    return ParquetVectorStore(spark, os.path.join(indexes_dir, name, "vectors"), STORES[kind])
+    return ParquetVectorStore(spark, f"{indexes_dir}/{name}/vectors", STORES[kind])
 
 
 def build_chunk_store(spark: SparkSession, indexes_dir: str, name: str) -> ChunkStore:
-    return ChunkStore(spark, os.path.join(indexes_dir, name, "chunks"))
+    return ChunkStore(spark, f"{indexes_dir}/{name}/chunks")
 
 
-def vector_metadata(chunks: DataFrame) -> DataFrame:
-    """id, place and the filter columns of chunks; missing texts are empty."""
+def vector_metadata(chunks: DataFrame, *more: Column) -> DataFrame:
+    """id, place and the filter columns of chunks, and columns that are made of them; missing texts are empty."""
     text = {f.name for f in CHUNK.fields if isinstance(f.dataType, T.StringType)}
-    return chunks.select("id", *[F.coalesce(c, F.lit("")).alias(c) if c in text else F.col(c) for c in (*VECTOR_METADATA, "ord")])
+    return chunks.select("id", *more, *[F.coalesce(c, F.lit("")).alias(c) if c in text else F.col(c) for c in (*VECTOR_METADATA, "ord")])
 
 
 class Manifest:
     """Which files are indexed, with their hashes and chunk ids, and the settings that made the index."""
 
     def __init__(self, spark: SparkSession, folder: str):
-        self.table = VersionedTable(spark, os.path.join(folder, "manifest"), MANIFEST)
-        self.config_path = os.path.join(folder, "config.json")
+        self.spark = spark
+        self.table = VersionedTable(spark, f"{folder}/manifest", MANIFEST)
+        self.settings = VersionedTable(spark, f"{folder}/settings", CONFIG)
 
     def files(self) -> DataFrame:
         return self.table.read()
 
     def config(self) -> dict:
-        try:
-            with open(self.config_path) as f:
-                return json.load(f)
-        except FileNotFoundError:
-            return {}
+        row = self.settings.read().first()
+        return json.loads(row["config"]) if row else {}
 
     def save(self, files: DataFrame, config: dict) -> None:
         self.table.replace(files)
-        staged = self.config_path + ".new"
-        with open(staged, "w") as f:
-            json.dump(config, f, sort_keys=True, indent=2)
-        os.replace(staged, self.config_path)
+        self.settings.replace(self.spark.createDataFrame([(json.dumps(config, sort_keys=True),)], CONFIG))

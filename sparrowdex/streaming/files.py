@@ -7,22 +7,22 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..chunking.parse import create_chunks, in_file_order
-from ..functions.text import TokenCount, quarter_tokens
+from ..functions.text import TokenCount, token_counter
 from ..operators import maintenance
-from ..operators.models import Embedder, HashedWords
+from ..operators.models import Embedder, build_embedder
 from ..plans.index import embed_chunks, fingerprint, open_index
 from ..schema import FILES
 from ..settings import Settings
 
 
-def merge_files(spark: SparkSession, files: DataFrame, name: str, store: str = "cosine", settings: Settings | None = None, embedder: Embedder | None = None, count: TokenCount = quarter_tokens) -> None:
+def merge_files(spark: SparkSession, files: DataFrame, name: str, store: str = "cosine", settings: Settings | None = None, embedder: Embedder | None = None, count: TokenCount | None = None) -> None:
     """Replace what the index holds of these files(file_path, content); other files stay as they are.
 
     The same files again change nothing, so a batch that is repeated after a failure is harmless.
     """
     s = settings or Settings()
     ix = open_index(spark, s, store, name)
-    embedder = embedder or HashedWords(s.embedding_dimensions)
+    embedder = embedder or build_embedder(s)
     hashed = files.withColumn("content_hash", F.sha2("content", 256)).persist()
     listed = ix.manifest.files()
     seen = hashed.select("file_path", "content_hash")
@@ -33,7 +33,7 @@ def merge_files(spark: SparkSession, files: DataFrame, name: str, store: str = "
     renewed = ix.chunks.table.read().join(chunks.select("id").distinct(), "id", "left_semi")
     old = maintenance.delete(ix.vectors.table.read(), stale).join(chunks.select("id"), "id", "left_anti")
     ix.vectors.table.replace(old.unionByName(embed_chunks(renewed, embedder, s).select(old.columns)))
-    ids = chunks.groupBy("file_path").agg(F.array_sort(F.collect_set("id")).alias("chunk_ids"))
+    ids = maintenance.chunks_by_file(chunks.select("file_path", "id", "ord"))
     rows = seen.join(fresh, "file_path", "left_semi").join(ids, "file_path", "left").withColumn("chunk_ids", F.coalesce("chunk_ids", F.array().cast("array<string>")))
     ix.manifest.save(listed.join(fresh, "file_path", "left_anti").unionByName(rows), fingerprint(s, store))
     chunks.unpersist()
