@@ -51,8 +51,8 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id and token ids of every row."""
-    return encode_documents(docs, RANKS, public_tokenizers.PATTERN).withColumn("n_tokens", F.size("ids").cast("long"))
+    """doc_id, token ids, their number and the digest of what they decode to, of every row."""
+    return encode_documents(docs, RANKS, public_tokenizers.PATTERN)
 
 
 STAGES = [

@@ -7,12 +7,17 @@ the token now being read may have begun.  Reading a byte moves each configuratio
 one configuration that stands on a token allowed after its predecessor gives the last token of the
 prefix read so far, and begins a new configuration.  Sets of configurations become deterministic
 states when they are first met; a configuration is kept only as far as it matters, as the tokens that
-it can still become.  Everything before the oldest live configuration is certain and emitted, so
-output lags by the longest token at most.  Merges enter in one place: whether a pair is allowed is
-found by replaying the merges at the border of the two tokens.
+it can still become.  A configuration began as many bytes ago as its place in the trie is deep, so the
+state tells where all live ones began; the splits of the prefixes before them have a common part, which
+no later byte changes: its tokens are emitted while reading, and only what lies behind is held (STEP
+bytes and the lookahead that the vocabulary needs, however long the piece is).  Merges enter in one
+place: whether a pair is allowed is found by replaying the merges at the border of the two tokens.
 
-Null texts count as empty.  Rows with equal text or id give equal results row by row; other columns
-are not read.  A long text is processed whole, piece by piece.
+Decoding joins the bytes of a bounded number of ids and feeds them to an incremental UTF-8 machine,
+which holds an unfinished character back until its last byte has come.
+
+Null texts count as empty.  Rows with equal text or id give equal results row by row; columns other
+than id and text, whatever their names, are not read.  A long text is processed whole, piece by piece.
 """
 
 from __future__ import annotations
@@ -22,7 +27,7 @@ import codecs
 import gc
 import hashlib
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator, Sequence
 from itertools import chain
 
 import pyarrow as pa
@@ -37,6 +42,8 @@ _MET = 1 << 22
 _MAX_STATES = 1 << 16
 _NEVER = 1 << 60
 _FEW = 48  # tokens below a node that are listed
+STEP = 256  # bytes read between two emissions
+DECODE_IDS = 1024  # ids whose bytes are joined at once
 
 #: On texts of these characters only, Python's own classes agree with \p{L}, \p{N} and \s.
 _PLAIN = re.compile("[\\x09-\\x0d\\x20-\\x7e\\xa1-\\xb1\\xb4-\\xb8\\xba\\xbb\\xbf-\\u024f]*")
@@ -80,6 +87,10 @@ def merge_by_rank(piece: bytes, ranks: dict[bytes, int], below: int = _NEVER) ->
     return out
 
 
+class _NoSplitError(Exception):
+    pass
+
+
 class Transducer:
     """The encoder of single pieces; states and transitions come into being as inputs need them."""
 
@@ -89,6 +100,8 @@ class Transducer:
         self.width = {r: len(b) for b, r in ranks.items()}
         self.trie: list[dict[int, int]] = [{}]
         self.final: list[int] = [-1]
+        self.depth: list[int] = [0]
+        self.longest_held = 0
         for b, r in ranks.items():
             at = 0
             for x in b:
@@ -98,6 +111,7 @@ class Transducer:
                     self.trie[at][x] = to
                     self.trie.append({})
                     self.final.append(-1)
+                    self.depth.append(self.depth[at] + 1)
                 at = to
             self.final[at] = r
         self.parts: dict[int, tuple[int, int] | None] = {}
@@ -214,6 +228,51 @@ class Transducer:
             self.last.append(last)
         return self.number[key]
 
+    def _boundary(self, state: int, ends: list[int], at: int) -> int:
+        """Up to where the splits of all live configurations agree: `at` bytes are read, ends[k] is the last token of k + 1."""
+        configs, last = self.states[state]
+        places = {at - self.depth[node] for node, _ in configs}
+        if last >= 0:
+            places.add(at)
+        if not places or min(places) < 0:  # nothing can go on, or the first token is still being read
+            return 0
+        while len(places) > 1:
+            far = max(places)
+            places.remove(far)
+            # a configuration only ever began where a split ended
+            places.add(far - self.width[ends[far - 1]] if far else 0)
+        return places.pop()
+
+    def _settled(self, ends: list[int], stop: int) -> list[int]:
+        """Tokens of the split of the first `stop` bytes held."""
+        out = []
+        while stop:
+            t = ends[stop - 1]
+            if t < 0:
+                raise _NoSplitError
+            out.append(t)
+            stop -= self.width[t]
+        out.reverse()
+        return out
+
+    def stream(self, piece: bytes) -> Iterator[list[int]]:
+        """Token ids of one piece in runs, as they become certain."""
+        state, ends, moves, last = 0, [], self.moves, self.last
+        for lo in range(0, len(piece), STEP):
+            for byte in piece[lo : lo + STEP]:
+                try:
+                    state = moves[state][byte]
+                except KeyError:
+                    moves[state][byte] = state = self._move(state, byte)
+                ends.append(last[state])
+            if lo + STEP < len(piece):
+                self.longest_held = max(self.longest_held, len(ends))
+                stop = self._boundary(state, ends, len(ends))
+                if stop:
+                    yield self._settled(ends, stop)
+                    del ends[:stop]
+        yield self._settled(ends, len(ends))
+
     def encode_piece(self, piece: bytes) -> list[int]:
         """Token ids of one piece, as merging by rank gives them; a piece that is a token is itself."""
         whole = self.ranks.get(piece)
@@ -221,22 +280,10 @@ class Transducer:
             return [whole]
         if len(self.states) > _MAX_STATES or len(self.narrow) > 3 * _MAX_STATES:
             self._clear()
-        state, ends, moves, last = 0, [], self.moves, self.last
-        for byte in piece:
-            try:
-                state = moves[state][byte]
-            except KeyError:
-                moves[state][byte] = state = self._move(state, byte)
-            ends.append(last[state])
-        out, at = [], len(piece)
-        while at:
-            t = ends[at - 1]
-            if t < 0:  # no vocabulary made by merging gets here
-                return merge_by_rank(piece, self.ranks)
-            out.append(t)
-            at -= self.width[t]
-        out.reverse()
-        return out
+        try:
+            return [t for run in self.stream(piece) for t in run]
+        except _NoSplitError:  # no vocabulary made by merging gets here
+            return merge_by_rank(piece, self.ranks)
 
 
 class ByteBPE:
@@ -278,19 +325,23 @@ class ByteBPE:
             self.met, self.news = bytearray(_MET), 0
         return out
 
-    def decode_bytes(self, ids: Iterable[int]) -> bytes:
-        return b"".join(map(self.bytes_of.__getitem__, ids))
-
-    def decode_stream(self, ids: Iterable[int], errors: str = "strict") -> Iterator[str]:
+    def decode_stream(self, ids: Sequence[int], errors: str = "strict", at_once: int = DECODE_IDS) -> Iterator[str]:
         """Text as it becomes certain: a character is held back until its last byte has come."""
-        machine = codecs.getincrementaldecoder("utf-8")(errors)
-        for i in ids:
-            text = machine.decode(self.bytes_of[i])
+        machine, bytes_of = codecs.getincrementaldecoder("utf-8")(errors), self.bytes_of
+        for lo in range(0, len(ids), at_once):
+            text = machine.decode(b"".join([bytes_of[i] for i in ids[lo : lo + at_once]]))
             if text:
                 yield text
         if text := machine.decode(b"", True):
             yield text
 
+    def decoded_digest(self, ids: Sequence[int]) -> str:
+        """Hex SHA-256 of the UTF-8 bytes of the text that the ids stand for, by the streaming decoder."""
+        digest = hashlib.sha256()
+        for text in self.decode_stream(ids):
+            digest.update(text.encode())
+        return digest.hexdigest()
+
 
 _coders: dict[tuple[str, str], ByteBPE] = {}
 
@@ -304,17 +355,20 @@ def coder(path: str, pattern: str) -> ByteBPE:
 
 
 def encode_documents(docs: DataFrame, path: str, pattern: str, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """doc_id and ids array<int> of every row."""
+    """doc_id, ids array<int>, n_tokens and decoded_sha256, what the ids give when they are decoded again, of every row."""
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = coder(path, pattern)
         for b in cut(batches, 1):
             ids = [c.encode(t or "") for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array(map(len, ids), pa.int64()), pa.array(map(c.decoded_digest, ids), pa.string())],
+                names=["doc_id", "ids", "n_tokens", "decoded_sha256"],
+            )
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, ids array<int>")
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, ids array<int>, n_tokens long, decoded_sha256 string")
 
 
 def decode_documents(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -344,7 +398,7 @@ def round_trip_digests(docs: DataFrame, path: str, pattern: str, text_col: str =
                 ids = c.encode(t or "")
                 n.append(len(ids))
                 by_id.append(hashlib.sha256(" ".join([named[i] for i in ids]).encode()).hexdigest())
-                by_text.append(hashlib.sha256(c.decode_bytes(ids)).hexdigest())
+                by_text.append(c.decoded_digest(ids))
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array(n, pa.int64()), pa.array(by_id, pa.string()), pa.array(by_text, pa.string())],
                 names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],

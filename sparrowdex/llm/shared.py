@@ -1,82 +1,26 @@
-"""Session helpers shared by the operators: shipping code, written tables, table access."""
+"""Session helpers of the operators: the session's own ones, batch sizes, tables and parallelism."""
 
 from __future__ import annotations
 
-import atexit
-import os
-import shutil
-import tempfile
-import uuid
-import zipfile
-from pathlib import Path
-
 from pyspark.sql import DataFrame, SparkSession
 
-_BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
-_PACKAGE = Path(__file__).resolve().parents[1]
+from ..session import discard, fresh_path, shared_dir, written
+from ..session import ship as _ship
 
+__all__ = ["discard", "fresh_path", "parallel", "shared_dir", "ship", "table", "written"]
 
-def ship(spark: SparkSession) -> None:
-    """Make this package importable in Python workers wherever they run (once per context)."""
-    sc = spark.sparkContext
-    # Smaller batches between JVM and Python than Spark's 64 MB: what both sides make of a batch is
-    # several times its size, and they share an executor's memory.
-    if spark.conf.get(_BATCH_BYTES) in ("67108864", "67108864b", "64m", "64MB"):
-        spark.conf.set(_BATCH_BYTES, "8m")
-    if getattr(sc, "_sparrowdex_shipped", False):
-        return
-    folder = tempfile.mkdtemp(prefix="sparrowdex")
-    archive = os.path.join(folder, "sparrowdex.zip")
-    with zipfile.ZipFile(archive, "w") as z:
-        for p in sorted(_PACKAGE.rglob("*.py")):
-            z.write(p, str(p.relative_to(_PACKAGE.parent)))
-    sc.addPyFile(archive)
-    atexit.register(shutil.rmtree, folder, ignore_errors=True)
-    sc._sparrowdex_shipped = True
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir of the session.
-
-    Where it is unset (tests, local mode) a folder on this machine is made and set.
-    """
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if at:
-        return at.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
-    made = getattr(spark.sparkContext, "_sparrowdex_dir", None)
-    if made is None:
-        made = tempfile.mkdtemp(prefix="sparrowdex-shared")
-        atexit.register(shutil.rmtree, made, ignore_errors=True)
-        spark.sparkContext._sparrowdex_dir = made
-    return f"file://{made}"
-
-
-def fresh_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/sparrowdex/{tag}-{uuid.uuid4().hex}"
+_BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
-def written(df: DataFrame, tag: str) -> DataFrame:
-    """Cut lineage: write df to the shared folder and read it back.
+def ship(spark: SparkSession) -> None:
+    """Make this package importable in Python workers, which take batches of a size that their memory bears.
 
-    A lost executor then costs a reread, never a recomputation of what led here.
+    Smaller ones than Spark's 64 MB: what both sides make of a batch is several times its size, and
+    they share an executor's memory.
     """
-    path = fresh_path(df.sparkSession, tag)
-    df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out._sparrowdex_path = path
-    return out
-
-
-def discard(*frames: DataFrame) -> None:
-    """Delete tables made by written() that no later result reads."""
-    for df in frames:
-        path = getattr(df, "_sparrowdex_path", None)
-        if path:
-            jvm = df.sparkSession.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    if spark.conf.get(_BATCH_BYTES) in ("67108864", "67108864b", "64m", "64MB"):
+        spark.conf.set(_BATCH_BYTES, "8m")
+    _ship(spark)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -1,3 +1,4 @@
+import hashlib
 import os
 import random
 import re
@@ -78,14 +79,15 @@ def test_stages(spark, folder):
     assert abs(n["en"] / sum(n.values()) - pipe.WEIGHTS["en"]) < 0.08
     c = coder(pipe.RANKS, public_tokenizers.PATTERN)
     for r in pipe.encoding(spark, fourth, at).limit(40).collect():
-        assert c.decode_bytes(r.ids).decode() == texts[r.doc_id].text and r.n_tokens == len(r.ids)
+        assert "".join(c.decode_stream(r.ids)) == texts[r.doc_id].text and r.n_tokens == len(r.ids)
+        assert r.decoded_sha256 == hashlib.sha256(texts[r.doc_id].text.encode()).hexdigest()
 
 
 def test_run_takes_all_stages(spark, folder):
     at, _ = folder
     assert [f for _, f in pipe.STAGES] == [pipe.language, pipe.near_duplicates, pipe.personal_data, pipe.mixing, pipe.encoding]
     out = pipe.run(spark, at)
-    assert out.columns == ["doc_id", "ids", "n_tokens"] and out.count() > 150
+    assert out.columns == ["doc_id", "ids", "n_tokens", "decoded_sha256"] and out.count() > 150
     assert os.path.isdir(at)
 
 

@@ -35,7 +35,8 @@ def test_encoding_is_the_librarys(text):
     c = bpe.coder(PATH, public_tokenizers.PATTERN)
     ids = c.encode(text)
     assert ids == LIB.encode_ordinary(text)
-    assert c.decode_bytes(ids) == text.encode() and "".join(c.decode_stream(ids)) == text
+    assert c.decoded_digest(ids) == hashlib.sha256(text.encode()).hexdigest()
+    assert all("".join(c.decode_stream(ids, at_once=n)) == text for n in (1, 2, 7, 1024))
 
 
 @settings(max_examples=300, deadline=None)
@@ -48,12 +49,24 @@ def test_pieces_of_any_bytes(piece):
 def test_stream_holds_back_partial_characters():
     c = bpe.coder(PATH, public_tokenizers.PATTERN)
     one = [c.ranks[bytes([b])] for b in "é😀".encode()]
-    assert list(c.decode_stream(one)) == ["é", "😀"]
+    assert list(c.decode_stream(one, at_once=1)) == ["é", "😀"] and list(c.decode_stream(one, at_once=4)) == ["é", "😀"]
     with pytest.raises(UnicodeDecodeError):
         list(c.decode_stream(one[:1]))
     assert list(c.decode_stream(one[:1], "replace")) == ["�"]
 
 
+@pytest.mark.parametrize("alphabet", ["ab", "the of and in", "aeé日", ". ", " ", "x", "=-", bytes(range(97, 123)).decode()])
+def test_long_pieces_leave_while_they_are_read(alphabet):
+    t = bpe.coder(PATH, public_tokenizers.PATTERN).transducer
+    r = random.Random(5)
+    piece = "".join(r.choice(alphabet) for _ in range(30_000)).encode()
+    t.longest_held = 0
+    runs = list(t.stream(piece))
+    assert [i for run in runs for i in run] == LIB._encode_single_piece(piece)
+    # bytes held: those between two emissions, and what later bytes may still change
+    assert 0 < t.longest_held <= bpe.STEP + 128 and len(runs) > len(piece) // bpe.STEP - 2
+
+
 def test_states_are_cleared_and_results_stay(monkeypatch):
     monkeypatch.setattr(bpe, "_MAX_STATES", 50)
     t = bpe.Transducer(bpe.load_ranks(PATH))
