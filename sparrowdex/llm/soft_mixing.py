@@ -4,17 +4,25 @@ A classifier learned from a small labelled table gives every document a posterio
 rate is then fitted for every document, so that the expected tokens of each domain - the sum over
 documents of rate * tokens * posterior - match the targets, by least squares, weighted by the inverse
 of the posteriors' Gram matrix, plus NEARNESS times the squared distance of the rates from their start.
-The dual of this has one number a domain: a rate is max(bound, start + posterior . dual).  Newton's
-method with a line search runs on it until nothing is left to gain: a pass is one aggregate over some
-fifty bytes a document, gives value, gradient and curvature, and leaves no lineage.
 
-The classifier is naive Bayes over hashed word ends; its score is the mean log likelihood of a
-document's words times at most EVIDENCE words, so that long documents keep soft memberships.
+The fit is by projected gradients.  All steps that the rates have taken add up to one number a domain,
+so a rate is the projection max(bound, start + posterior . numbers), and needs no storing.  A step is the
+gradient of the misfit, scaled by the Gram matrix of the documents whose rates are above their bound: the
+first one is a plain projected gradient step; unscaled ones would need thousands where bounds bind, as a
+step then moves part of the documents only.  A line search keeps each step a gain, and steps go on until
+the gradient is nothing but rounding.  A step is one aggregate over some fifty bytes a document: it gives
+value, gradient and scale, and leaves no lineage.
+
+The classifier is naive Bayes over hashed word ends; a document's score is the mean log likelihood of its
+words times n * E / (n + E) for n words and E = evidence: the same rule for all lengths, by which a long
+document counts as E words and keeps a soft membership.
 
 Built-in functions only, no shuffle but of aggregates of a fixed number of rows.  Null and empty texts
-have no tokens, even posteriors, and take the rates that these give.  Repeated rows get equal rates.
-Labels that no target names are left out; with no labelled rows all posteriors are even.  Targets that
-no rates can reach are met as nearly as least squares allow.
+have no tokens, even posteriors, and take the rates that these give.  A very long text costs its words as
+one array in one row.  Repeated rows get equal rates; rows without an id are like others.  Labels that no
+target names are left out; with no labelled rows all posteriors are even; empty tables give empty ones.
+Columns other than id and text are not read by soft_mixing() and kept by mixed(), whatever their names.
+Targets that no rates can reach are met as nearly as least squares allow.
 """
 
 from __future__ import annotations
@@ -28,14 +36,19 @@ from pyspark.sql import functions as F
 from .shared import discard, written
 
 BUCKETS = 4_096
-EVIDENCE = 12
+#: Words that a very long document counts as, see above.
+EVIDENCE = 16.0
 LABELLED_ROWS = 4_000
 #: Weight of the distance from the start: decides between rates that fit alike.
 NEARNESS = 1e-6
-#: Length of the dual's gradient, in shares of all tokens, at which the fit has converged.
+#: Length of the gradient, in shares of all tokens, at which the fit has converged.
 TOLERANCE = 1e-7
 #: A guard that ends a fit which rounding keeps from converging.
 MOST_PASSES = 300
+#: Sums of one aggregate; more are taken by rows of (place, value).
+MOST_SUMS = 128
+#: Copies of a row that one array lists.
+COPIES = 1_024
 _BLANK = "[\\x20\\x09-\\x0D]+"
 
 
@@ -49,11 +62,10 @@ def _bucket(word: Column) -> Column:
 
 
 def label_sample(labels: DataFrame, docs: DataFrame, domain_col: str, rows: int = LABELLED_ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """text, domain of about `rows` labelled documents, chosen by a hash of the id; at most twice as many."""
-    n = max(1, labels.count())
-    share = min(1.0, rows / n)
-    drawn = labels.select(F.col(id_col).alias("_id")).filter(F.pmod(F.xxhash64("_id"), F.lit(1 << 30)) < int(share * (1 << 30)) + 1).limit(2 * rows)
-    # at most 2 * rows ids: bounded whatever the tables' sizes
+    """text, domain of the `rows` labelled ids that come first by hash, and of all documents that have one of them."""
+    ids = labels.select(F.col(id_col).alias("_id")).filter("_id is not null").distinct()
+    drawn = ids.orderBy(F.xxhash64("_id"), "_id").limit(rows)
+    # at most `rows` ids: bounded whatever the tables' sizes
     hit = docs.join(F.broadcast(drawn), docs[id_col] == F.col("_id"), "left_semi")
     return hit.select(F.col(text_col).alias("text"), F.col(domain_col).alias("domain"))
 
@@ -77,13 +89,18 @@ def _looked_up(weights: Column):
     return lambda total, bucket: total + F.get(weights, bucket)
 
 
-def with_posteriors(docs: DataFrame, weights: list[list[float]], text_col: str = "text") -> DataFrame:
+def _table(values: list[float]) -> Column:
+    """Numbers as one text that the optimizer turns into one constant array: no node in the plan for each."""
+    return F.split(F.lit(",".join(map(repr, values))), ",").cast("array<double>")
+
+
+def with_posteriors(docs: DataFrame, weights: list[list[float]], text_col: str = "text", evidence: float = EVIDENCE) -> DataFrame:
     """docs with _tokens and the array _post of posteriors, in the order of the domains."""
-    tables = [F.array(*map(F.lit, w)) for w in weights]
     buckets = docs.withColumn("_buckets", F.transform(_words(F.col(text_col)), _bucket))
     n = F.size("_buckets")
-    sums = [F.aggregate("_buckets", F.lit(0.0), _looked_up(t)) for t in tables]
-    scored = buckets.select(*docs.columns, n.cast("long").alias("_tokens"), F.array(*[s * F.least(n, F.lit(EVIDENCE)) / F.greatest(n, F.lit(1)) for s in sums]).alias("_sums"))
+    sums = [F.aggregate("_buckets", F.lit(0.0), _looked_up(_table(w))) for w in weights]
+    # sum / n * (n * E / (n + E))
+    scored = buckets.select(*docs.columns, n.cast("long").alias("_tokens"), F.array(*[s * evidence / (n + evidence) for s in sums]).alias("_sums"))
     shifted = scored.withColumn("_sums", F.transform("_sums", lambda x: F.exp(x - F.array_max("_sums"))))
     total = F.aggregate("_sums", F.lit(0.0), lambda a, x: a + x)
     return shifted.withColumn("_post", F.transform("_sums", lambda x: x / total)).drop("_sums")
@@ -97,8 +114,21 @@ def _rate(steps: list[list[float]], start: float, least: float) -> Column:
     return rate
 
 
+def _sums(rows: DataFrame, values: list[Column]) -> np.ndarray:
+    """Sums of the values over all rows; 0 where there are none."""
+    if len(values) <= MOST_SUMS:
+        got = rows.agg(*[F.coalesce(F.sum(v), F.lit(0.0)).cast("double") for v in values]).first()
+        return np.array(got, dtype=float)
+    out = np.zeros(len(values))
+    # partial sums before the shuffle, of as many rows as there are values
+    placed = rows.select(F.posexplode(F.array(*[v.cast("double") for v in values])).alias("k", "v"))
+    for r in placed.groupBy("k").agg(F.sum("v").alias("v")).collect():
+        out[r["k"]] = r["v"] or 0.0
+    return out
+
+
 def fit_rates(posteriors: DataFrame, targets: list[float], start: float = 1.0, least: float = 0.0) -> list[list[float]]:
-    """The dual numbers of the domains, as the one step of _rate.  posteriors has _tokens and _post."""
+    """What the steps of all domains add up to, as the one step of _rate.  posteriors has _tokens and _post."""
     k = len(targets)
     p = [F.get("_post", F.lit(i)) for i in range(k)]
     t = F.col("_tokens")
@@ -110,10 +140,7 @@ def fit_rates(posteriors: DataFrame, targets: list[float], start: float = 1.0, l
             out[i, j] = out[j, i] = v
         return out
 
-    def total(x: Column) -> Column:
-        return F.coalesce(F.sum(x), F.lit(0.0))
-
-    first = posteriors.agg(total(t), *[total(t * p[i] * p[j]) for i, j in pairs]).first()
+    first = _sums(posteriors, [t, *[t * p[i] * p[j] for i, j in pairs]])
     tokens = float(first[0])
     if tokens <= 0:
         return []
@@ -123,20 +150,19 @@ def fit_rates(posteriors: DataFrame, targets: list[float], start: float = 1.0, l
     goal = basis.T @ (np.array(targets, dtype=float) / tokens)
 
     def look(y: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
-        """Value, gradient and curvature of the dual at y."""
+        """Value, gradient and scale where the steps add up to y."""
         free = sum((x * F.lit(float(v)) for x, v in zip(p, basis @ y, strict=True)), F.lit(float(start)))
         at = posteriors.select("_tokens", "_post", free.alias("_free")).withColumn("_rate", F.greatest(F.lit(float(least)), "_free"))
         moves = F.when(F.col("_free") > least, t).otherwise(0)
-        row = at.agg(total(t * F.col("_rate") * (F.col("_free") - F.col("_rate") / 2)), *[total(F.col("_rate") * t * x) for x in p], *[total(moves * p[i] * p[j]) for i, j in pairs]).first()
-        row = np.array(row, dtype=float) / tokens
+        row = _sums(at, [t * F.col("_rate") * (F.col("_free") - F.col("_rate") / 2), *[F.col("_rate") * t * x for x in p], *[moves * p[i] * p[j] for i, j in pairs]]) / tokens
         value = goal @ y - NEARNESS / 2 * (y @ y) - row[0]
         return value, goal - NEARNESS * y - basis.T @ row[1 : k + 1], NEARNESS * np.eye(len(y)) + basis.T @ gram(row[k + 1 :]) @ basis
 
     y = np.zeros(len(goal))
-    value, slope, curve = look(y)
+    value, slope, scale = look(y)
     passes = 1
     while np.linalg.norm(slope) > TOLERANCE and passes < MOST_PASSES:
-        way = np.linalg.solve(curve, slope)
+        way = np.linalg.solve(scale, slope)
         rise, size = float(slope @ way), 1.0
         while passes < MOST_PASSES:
             new = look(y + size * way)
@@ -144,17 +170,16 @@ def fit_rates(posteriors: DataFrame, targets: list[float], start: float = 1.0, l
             bend = float(new[1] @ way)
             if new[0] >= value - 1e-12 * abs(value) and bend >= -rise / 2:
                 break
-            # the dual is concave: its top on this line is where its slope crosses zero
+            # the value is concave in y: its top on this line is where its slope crosses zero
             size *= min(0.5, max(0.05, rise / max(rise - bend, 1e-300)))
         y = y + size * way
-        value, slope, curve = new
+        value, slope, scale = new
     return [(basis @ y).tolist()]
 
 
 def totals(posteriors: DataFrame, k: int) -> list[float]:
     """Tokens of each domain at rate 1."""
-    row = posteriors.agg(*[F.coalesce(F.sum(F.col("_tokens") * F.get("_post", F.lit(i))), F.lit(0.0)) for i in range(k)]).first()
-    return [float(x) for x in row]
+    return _sums(posteriors, [F.col("_tokens") * F.get("_post", F.lit(i)) for i in range(k)]).tolist()
 
 
 def soft_mixing(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -198,5 +223,8 @@ def mixed(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], text_
     scored = with_posteriors(renamed, model, f"c{names.index(text_col)}")
     rate = F.round(_rate(steps, 1.0, 1.0), 9)
     chance = F.pmod(F.xxhash64(f"c{names.index(id_col)}", F.lit(29)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    copies = scored.withColumn("_rate", rate).withColumn("_copies", (F.floor("_rate") + F.when(chance < F.col("_rate") - F.floor("_rate"), 1).otherwise(0)).cast("int"))
-    return copies.withColumn("_copy", F.explode(F.sequence(F.lit(1), "_copies"))).select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)])
+    copies = scored.withColumn("_rate", rate).withColumn("_copies", F.floor("_rate") + F.when(chance < F.col("_rate") - F.floor("_rate"), 1).otherwise(0))
+    # in two steps, so that no array lists more than COPIES of them
+    blocks = copies.withColumn("_block", F.explode(F.sequence(F.lit(0), F.floor((F.col("_copies") - 1) / COPIES))))
+    inside = F.least(F.lit(COPIES), F.col("_copies") - F.col("_block") * COPIES)
+    return blocks.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), inside))).select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)])

@@ -86,3 +86,62 @@ def test_binding_bounds_against_brute_force(spark, least, weights):
     # the fit is as good as the brute force's, whatever way it took
     assert size[0] <= size[1] * (1 + 1e-3) + 1e-6 * tokens.sum()
     assert np.allclose(left[0], left[1], atol=1e-3 * tokens.sum())
+
+
+def simulated(seed, n=400):
+    """Two domains, soft posteriors, any shares and targets, also such that most rates are at their bound."""
+    r = np.random.default_rng(seed)
+    hot, sharp = r.uniform(0.05, 0.98), r.uniform(0.5, 6)
+    raw = np.exp(sharp * np.where(r.random(n) < hot, 1, -1) + r.normal(size=n))
+    post = np.stack([raw / (1 + raw), 1 / (1 + raw)], axis=1)
+    share = float(r.choice([0.001, 0.02, 0.1, 0.3, 0.5, 0.85, 0.98, 0.999]))
+    return post, r.integers(1, 500, n), [share, 1 - share]
+
+
+@pytest.mark.parametrize("seed", range(10))
+def test_two_soft_domains_reach_the_best_objective(spark, seed):
+    post, tokens, share = simulated(seed)
+    table = spark.createDataFrame([(int(n), p.tolist()) for n, p in zip(tokens, post, strict=True)], "_tokens long, _post array<double>").coalesce(1).cache()
+    targets = np.array(share) * tokens.sum()
+    for least in (0.0, 1.0):
+        steps = mix.fit_rates(table, targets.tolist(), least=least)
+        rate = np.maximum(least, 1 + post @ np.array(steps[0]))
+        want = brute(post, tokens.astype(float), targets, least=least, rounds=5_000)
+        inverse = np.linalg.pinv((post * tokens[:, None]).T @ post)
+        size = [(left := targets - (post * (x * tokens)[:, None]).sum(axis=0)) @ inverse @ left for x in (rate, want)]
+        assert size[0] <= size[1] * (1 + 1e-3) + 1e-6 * tokens.sum()
+
+
+def test_many_domains(spark, monkeypatch):
+    r = np.random.default_rng(8)
+    post = r.dirichlet(np.full(6, 0.3), 300)
+    tokens = r.integers(5, 90, 300)
+    table = spark.createDataFrame([(int(n), p.tolist()) for n, p in zip(tokens, post, strict=True)], "_tokens long, _post array<double>").coalesce(1).cache()
+    targets = (r.dirichlet(np.full(6, 3.0)) * tokens.sum()).tolist()
+    direct = mix.fit_rates(table, targets)
+    monkeypatch.setattr(mix, "MOST_SUMS", 5)
+    assert np.allclose(mix.fit_rates(table, targets), direct, rtol=1e-6, atol=1e-9)
+
+
+def test_sample_does_not_depend_on_order_or_repeats(spark):
+    docs, _ = frames(spark)
+    ids = [(i,) for i in range(60)]
+    one = spark.createDataFrame(ids, "doc_id long")
+    hot = spark.createDataFrame([(7,)] * 500 + ids[::-1] + [(None,)], "doc_id long").repartition(5)
+    pick = lambda labels: sorted((r.text, r.domain) for r in mix.label_sample(labels, docs, "lang", rows=20).collect())
+    assert pick(one) == pick(hot) and len(pick(one)) == 20
+
+
+def test_mixed_edge_cases(spark, monkeypatch):
+    docs, labelled = frames(spark, [(None, "the house", "en"), (70, None, "en"), (71, "", None), (72, "la maison " * 20_000, "fr"), (3, rows()[3][1], "fr")])
+    clashing = docs.withColumnsRenamed({"rate": "_tokens", "lang": "c0"})
+    out = mix.mixed(clashing, labelled, {"en": 0.3, "fr": 0.4, "de": 0.3})
+    assert out.columns == clashing.columns
+    assert set(map(repr, out.select("doc_id", "text").collect())) == set(map(repr, clashing.select("doc_id", "text").collect()))
+    assert mix.mixed(clashing.limit(0), labelled, {"en": 0.5, "fr": 0.5}).collect() == []
+    monkeypatch.setattr(mix, "COPIES", 3)
+    rare = {"en": 0.05, "fr": 0.9, "de": 0.05}
+    few = mix.mixed(docs, labelled, rare).groupBy("doc_id").count()
+    monkeypatch.setattr(mix, "COPIES", 1_024)
+    assert sorted(map(tuple, few.na.fill(-1).collect())) == sorted(map(tuple, mix.mixed(docs, labelled, rare).groupBy("doc_id").count().na.fill(-1).collect()))
+    assert max(r["count"] for r in few.collect()) > 3
