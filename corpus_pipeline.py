@@ -5,11 +5,10 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from sparrowdex.llm.byte_bpe import encode_documents
 from sparrowdex.llm.language_id import held_out, identify, train
-from sparrowdex.llm.ngram_join import ngram_components
+from sparrowdex.llm.ngram_join import drop_linked
 from sparrowdex.llm.pii_crf import redact
 from sparrowdex.llm.shared import table, written
 from sparrowdex.llm.soft_mixing import label_sample, mixed
@@ -31,12 +30,11 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that links join: that of the smallest id.  Rows without an id stay."""
-    groups = ngram_components(docs)
-    stay = groups.filter("doc_id = component_id").select("doc_id").distinct().hint("merge")
-    kept = docs.join(stay, "doc_id", "left_semi").select(*COLUMNS)
-    first = kept.withColumn("_k", F.row_number().over(Window.partitionBy("doc_id").orderBy("text", "lang", "source", "n_chars"))).filter("_k = 1").select(*COLUMNS)
-    return first.union(docs.filter("doc_id is null").select(*COLUMNS))
+    """One document of each group that links join, that of the smallest id, by its own text where ids repeat.
+
+    Rows equal in id and text are one; rows without an id stay.
+    """
+    return drop_linked(docs.select(*COLUMNS))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -4,11 +4,17 @@ import re
 import pytest
 
 ngram = pytest.importorskip("sparrowdex.llm.ngram_join")
+from pyspark.sql import functions as F  # noqa: E402
+
 from sparrowdex.llm.components import components  # noqa: E402
 from sparrowdex.llm.signature_tree import SignatureTree  # noqa: E402
 
 
-def brute(rows, num=80, den=100):
+def brute_rows(rows):
+    return brute(rows, by_row=True)
+
+
+def brute(rows, num=80, den=100, by_row=False):
     """doc_id -> (set size, component) by comparing all pairs."""
 
     def shingles(t):
@@ -32,6 +38,8 @@ def brute(rows, num=80, den=100):
     for i, (a, _) in enumerate(sets):
         if a is not None:
             least[find(i)] = min(least.get(find(i), a), a)
+    if by_row:
+        return [(a, len(x), find(i)) for i, (a, x) in enumerate(sets)]
     return sorted((a, len(x), least.get(find(i))) if a is not None else (-1, len(x), None) for i, (a, x) in enumerate(sets))
 
 
@@ -62,18 +70,66 @@ def got(df):
     return sorted((-1 if r[0] is None else r[0], r[1], r[2]) for r in df.select("doc_id", "n_shingles", "component_id").collect())
 
 
-@pytest.mark.parametrize("blocks", [False, True])
-def test_matches_brute_force(spark, blocks, monkeypatch):
-    if blocks:  # families of more than eight sets are cut into blocks
-        monkeypatch.setattr(ngram, "FAMILY_SETS", 8)
-        monkeypatch.setattr(ngram, "GROUP_SHINGLES", 500)
-        monkeypatch.setattr(ngram, "FLUSH_SHINGLES", 2000)
+#: Small bounds, so that what is for large tables is met on a small one.
+BLOCKS = {"FAMILY_SETS": 8, "GROUP_SHINGLES": 500, "FLUSH_SHINGLES": 2_000}
+FREQUENT = {"FEW": 2, "FREQUENT": 4, "WINDOW_SHINGLES": 5_000}
+TWO_STEPS = {"GROUP_SHINGLES": 500, "FLUSH_SHINGLES": 300, "PARTS_AT_ONCE": 3}
+
+
+@pytest.mark.parametrize("bounds", [{}, BLOCKS, FREQUENT, TWO_STEPS, BLOCKS | FREQUENT | TWO_STEPS])
+def test_matches_brute_force(spark, bounds, monkeypatch):
+    for name, value in bounds.items():
+        monkeypatch.setattr(ngram, name, value)
     rows = corpus()
     # rows that share an id count as documents of their own here and there
     df = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, k1 string").repartition(3)
     assert got(ngram.ngram_components(df)) == brute(rows)
 
 
+def test_frequent_shingles_go_by_node(spark, monkeypatch):
+    """A passage in every document: its shingles are in no group of shingles, and links that hang on it are found."""
+    for name, value in {"FEW": 2, "FREQUENT": 50, "WINDOW_SHINGLES": 3_000, "FAMILY_SETS": 16}.items():
+        monkeypatch.setattr(ngram, name, value)
+    r = random.Random(1)
+    words = [f"w{i}" for i in range(300)]
+    passage = [r.choice(words) for _ in range(30)]
+    rows = [(i, " ".join(passage + [r.choice(words) for _ in range(r.choice((3, 4, 5, 40)))])) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    keyed = ngram.shingle_keys(df.selectExpr("doc_id", "text", "xxhash64(text) text_key")).cache()
+    found, times = ngram.frequent_shingles(keyed, 1)
+    assert len(found) >= 26 and (times >= 50).all() and keyed.filter("n_shingles >= 0").count() == 400
+    assert got(ngram.ngram_components(df)) == brute(rows)
+
+
+def test_one_row_very_often(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    near = text + " end"
+    often = spark.range(100_000).select(F.lit(5).cast("long").alias("doc_id"), F.lit(text).alias("text"))
+    few = spark.createDataFrame([(4, near), (6, "other words in a text of their own"), (5, "the same id with another text")], "doc_id long, text string")
+    out = ngram.ngram_components(often.union(few))
+    counts = {tuple(r)[:3]: r["n"] for r in out.groupBy("doc_id", "n_shingles", "component_id").agg(F.count("*").alias("n")).collect()}
+    assert counts == {(5, 56, 4): 100_000, (4, 57, 4): 1, (6, 4, 6): 1, (5, 2, 5): 1}
+
+
+def test_drop_linked_keeps_one_of_each_component(spark):
+    rows = [*corpus(), (1, "first text of a shared id here"), (1, "second text, not like it at all"), (1, "second text, not like it at all"), (9, " \n "), (9, None)]
+    df = spark.createDataFrame([(i, t, k % 3) for k, (i, t) in enumerate(rows)], "doc_id long, text string, _first int").repartition(3)
+    kept = ngram.drop_linked(df)
+    assert kept.columns == df.columns
+    out = [(r.doc_id, r.text) for r in kept.collect()]
+    distinct = sorted({(i, t) for i, t in rows if i is not None}, key=repr)
+    # all rows as documents of their own: a component keeps one of those with its smallest id
+    whole = {k: c for k, (_, _, c) in zip(range(len(distinct)), brute_rows(distinct), strict=True)}
+    heads = {}
+    for k, c in whole.items():
+        heads.setdefault(c, []).append(distinct[k])
+    assert len([x for x in out if x[0] is not None]) == len(heads) and out.count((None, "one two")) == 1
+    for group in heads.values():
+        least = min(i for i, _ in group)
+        assert len([x for x in out if x in group and x[0] == least]) == 1
+    assert ngram.drop_linked(df.limit(0)).collect() == []
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert got(ngram.ngram_components(df)) == []
