@@ -117,6 +117,22 @@ SELECT conv_id, count(*)::bigint AS n_turns, sha256(string_agg(role || chr(10) |
 FROM k GROUP BY conv_id
 """
 
+#: Copies are one node; all pairs of nodes that share a shingle are counted, and components spread from smaller ids.
+COMPONENTS_SQL = """
+WITH RECURSIVE d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+s AS (SELECT doc_id, list_distinct(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+  ELSE list_transform(range(1, len(ws) - 3), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] || ' ' || ws[i + 3] || ' ' || ws[i + 4]) END) AS ss FROM d),
+k AS (SELECT doc_id, len(ss)::bigint AS n, sha256(array_to_string(list_sort(ss), chr(10))) AS key FROM s),
+nodes AS (SELECT key, min(doc_id) AS id, any_value(n) AS n FROM k WHERE n > 0 AND doc_id IS NOT NULL GROUP BY 1),
+g AS (SELECT nodes.id, n, hash(unnest(ss)) AS h FROM nodes JOIN s ON s.doc_id = nodes.id),
+c AS (SELECT a.id AS x, b.id AS y, a.n AS nx, b.n AS ny, count(*) AS shared FROM g a JOIN g b ON a.h = b.h AND a.id < b.id AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n) GROUP BY ALL),
+e AS (SELECT x, y FROM c WHERE 100 * shared >= 80 * (nx + ny - shared)),
+t AS (SELECT x, y FROM e UNION ALL SELECT y, x FROM e),
+r AS (SELECT id, id AS root FROM nodes UNION SELECT t.y, r.root FROM r JOIN t ON t.x = r.id AND r.root < t.y),
+m AS (SELECT id, min(root) AS component_id FROM r GROUP BY 1)
+SELECT k.doc_id, k.n AS n_shingles, coalesce(m.component_id, k.doc_id) AS component_id FROM k LEFT JOIN nodes ON nodes.key = k.key LEFT JOIN m ON m.id = nodes.id
+"""
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_ngram_join": op2_ngram_join,
@@ -130,4 +146,4 @@ QUERIES = {
     "op10_soft_mixing": op10_soft_mixing,
 }
 
-ORACLE_SQL = {"op6_chat_format": CHAT_SQL, "op5_quality_rules": QUALITY_SQL}
+ORACLE_SQL = {"op2_ngram_join": COMPONENTS_SQL, "op5_quality_rules": QUALITY_SQL, "op6_chat_format": CHAT_SQL}
