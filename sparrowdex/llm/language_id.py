@@ -6,10 +6,11 @@ the set sizes.  Kernel ridge regression, one class against the rest, is fitted o
 over landmark texts.  A prediction is the product of a batch's presence rows with the landmarks'
 presence rows, already multiplied by their coefficients: kernel and regression in one product.
 
-Whole texts are read.  A text that is null or has no letter is `und` with score 0.  Learning takes at
-most PER_LANGUAGE rows of each of the MAX_LANGUAGES most frequent languages, chosen by a hash of the
-id; rows with a null language, text or id do not teach.  Repeated rows are predicted alike.  With
-nothing to learn from, everything is `und`.
+Whole texts are read, a very long one in segments.  A text that is null or has no letter is `und` with
+score 0.  Learning takes at most MOST_ROWS rows, the same number of each language and PER_LANGUAGE at most:
+those that come first by a hash of id and text, each id and text once, whatever their order or repeats; rows
+with a null language, text or id do not teach.  Repeated rows are predicted alike.  With nothing to learn from,
+everything is `und`.  Columns other than those named, whatever they are called, are kept or left as asked.
 """
 
 from __future__ import annotations
@@ -27,9 +28,13 @@ from .shared import ship
 
 PER_LANGUAGE = 300
 LANDMARKS = 256
-MAX_LANGUAGES = 64
+MOST_ROWS = 19_200
 RIDGE = 1e-2
 _BATCH_BYTES = 1 << 20
+_SEGMENT = 1 << 22
+
+#: Values that the draw of a row can take.
+_STEPS = 1 << 40
 
 #: Buckets of the n-grams of each length.
 _WIDTHS = {1: 256, 2: 4096, 3: 8192, 4: 8192}
@@ -50,21 +55,24 @@ def presence(texts: list[str]) -> np.ndarray:
     """texts x buckets, 1 where the text has an n-gram of the bucket."""
     parts = [t.lower().encode() for t in texts]
     out = np.zeros((len(parts), _SIZE), dtype=np.uint8)
-    data = _FOLD[np.frombuffer(b"".join(parts), dtype=np.uint8)].astype(np.uint32)
-    lens = np.array([len(p) for p in parts])
-    ends = np.repeat(np.cumsum(lens), lens)
-    row = np.repeat(np.arange(len(parts)) * _SIZE, lens)
-    flat, code, base = out.reshape(-1), data, 0
-    where = np.arange(len(data))
-    for n, width in _WIDTHS.items():
-        if n > 1:
-            code = (code[:-1] << np.uint32(8)) | data[n - 1 :]
-        if not len(code):
-            break
-        inside = where[: len(code)] + n <= ends[: len(code)]
-        bucket = code if n == 1 else ((code * np.uint32(0x9E3779B1)) >> np.uint32(8)) % np.uint32(width)
-        flat[(row[: len(code)] + base + bucket)[inside]] = 1
-        base += width
+    flat = out.reshape(-1)
+    whole = np.frombuffer(b"".join(parts), dtype=np.uint8)
+    bounds = np.cumsum([len(p) for p in parts])
+    longest = max(_WIDTHS)
+    for lo in range(0, len(whole), _SEGMENT):
+        data = _FOLD[whole[lo : lo + _SEGMENT + longest - 1]].astype(np.uint32)
+        at = np.arange(lo, lo + len(data))
+        text = np.searchsorted(bounds, at, side="right")
+        row, ends = text * _SIZE, bounds[text]
+        code, base = data, 0
+        for n, width in _WIDTHS.items():
+            if n > 1:
+                code = (code[:-1] << np.uint32(8)) | data[n - 1 :]
+            k = len(code)
+            bucket = code if n == 1 else ((code * np.uint32(0x9E3779B1)) >> np.uint32(8)) % np.uint32(width)
+            inside = at[:k] + n <= ends[:k]
+            flat[(row[:k] + base + bucket)[inside]] = 1
+            base += width
     return out
 
 
@@ -73,28 +81,37 @@ def _kernel(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return (x @ y.T) / nx[:, None] / ny[None, :]
 
 
+def _unpacked(rows: list[tuple[str, bytes]]) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(b"".join(r[1] for r in rows), np.uint8).reshape(len(rows), -1), axis=1)[:, :_SIZE].astype(np.float32)
+
+
 def fit(rows: list[tuple[str, bytes]], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model | None:
-    """rows: language and packed presence row, in a fixed order."""
+    """rows: language and packed presence row, in a fixed order.  They stay packed but for the landmarks and a few at a time."""
     if not rows:
         return None
     names = sorted({r[0] for r in rows})
-    x = np.stack([np.unpackbits(np.frombuffer(r[1], np.uint8))[:_SIZE] for r in rows]).astype(np.float32)
-    y = np.where(np.array([r[0] for r in rows])[:, None] == np.array(names)[None, :], 1.0, -1.0)
+    number = {k: i for i, k in enumerate(names)}
+    label = np.array([number[r[0]] for r in rows])
     # every k-th row: all languages come in proportion, as rows come sorted by language
-    chosen = x[np.unique(np.linspace(0, len(x) - 1, min(landmarks, len(x))).astype(int))]
+    chosen = _unpacked([rows[i] for i in np.unique(np.linspace(0, len(rows) - 1, min(landmarks, len(rows))).astype(int))])
     values, vectors = np.linalg.eigh(_kernel(chosen, chosen).astype(np.float64))
     keep = values > 1e-6 * values[-1]
     whiten = vectors[:, keep] / np.sqrt(values[keep])
-    phi = np.hstack([_kernel(x, chosen) @ whiten, np.ones((len(x), 1))])
     # classes weigh the same whatever their size
-    share = np.array([[1 / sum(r[0] == k for r in rows)] for k in names])
-    weight = sum(share[i] * (y[:, i] > 0) for i in range(len(names)))
+    size = np.bincount(label)
+    weight = (1 / size)[label]
     weight = weight / weight.mean()
-    gram = (phi * weight[:, None]).T @ phi + ridge * len(x) * np.eye(phi.shape[1]) / len(names)
-    coef = np.linalg.solve(gram, (phi * weight[:, None]).T @ y)
+    gram, right = np.zeros((keep.sum() + 1,) * 2), np.zeros((keep.sum() + 1, len(names)))
+    for lo in range(0, len(rows), 256):
+        part = slice(lo, lo + 256)
+        phi = _kernel(_unpacked(rows[part]), chosen) @ whiten
+        phi = np.hstack([phi, np.ones((len(phi), 1))])
+        y = np.where(label[part, None] == np.arange(len(names))[None, :], 1.0, -1.0)
+        gram += (phi * weight[part, None]).T @ phi
+        right += (phi * weight[part, None]).T @ y
+    coef = np.linalg.solve(gram + ridge * len(rows) * np.eye(len(gram)) / len(names), right)
     alpha = (whiten @ coef[:-1]) / np.sqrt(np.maximum(chosen.sum(axis=1), 1))[:, None]
-    bias = coef[-1]
-    return Model(names, np.vstack([chosen.T @ alpha, bias[None, :]]).astype(np.float32))
+    return Model(names, np.vstack([chosen.T @ alpha, coef[-1:]]).astype(np.float32))
 
 
 def has_letter(text: str) -> bool:
@@ -123,25 +140,34 @@ def predict(model: Model | None, texts: list[str | None]) -> tuple[list[str], li
 
 def train(docs: DataFrame, teaches: Column, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id", per_language: int = PER_LANGUAGE) -> Model | None:
     """A model of the rows of docs for which `teaches` holds."""
-    ship(docs.sparkSession)
+    spark = docs.sparkSession
+    ship(spark)
     known = docs.filter(teaches & F.col(id_col).isNotNull() & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (F.col(text_col) != ""))
-    sizes = known.groupBy(F.col(lang_col).alias("lang")).count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
+    draw = F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.col(text_col)), F.lit(_STEPS)).alias("draw")
+    known = known.select(F.col(lang_col).cast("string").alias("lang"), draw, F.col(text_col).alias("text"))
+    # rows that repeat count once here, so that they take no place of others
+    sizes = known.groupBy("lang").agg(F.approx_count_distinct("draw").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_ROWS).collect()
     if not sizes:
         return None
+    per_language = max(1, min(per_language, MOST_ROWS // len(sizes)))
     # a little more than wanted, by hash; what is over is left out below
-    steps = 1 << 30
-    share = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], min(steps, int(steps * 1.5 * (per_language + 20) / r["count"])))])
-    draw = F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit(17)), F.lit(steps))
-    sample = known.select(F.col(lang_col).alias("lang"), draw.alias("draw"), F.col(text_col).alias("text")).filter(F.col("draw") < F.element_at(share, F.col("lang")))
+    shares = [(r["lang"], min(_STEPS, int(_STEPS * 1.5 * (per_language + 20) / r["n"]))) for r in sizes]
+    shares = spark.createDataFrame(shares, "lang string, share long")
+    # one row for each language, MOST_ROWS at most
+    sample = known.join(F.broadcast(shares), "lang").filter("draw < share").select("lang", "draw", "text")
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple] = set()
         for b in cut(batches, 2):
-            texts = b.column(2).to_pylist()
-            bits = [np.packbits(presence([t])[0]).tobytes() for t in texts]
-            rows = pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(bits, pa.binary())], names=["lang", "draw", "bits"])
-            yield rows.filter(pa.array([has_letter(t) for t in texts]))
-
-    got = sample.mapInArrow(features, "lang string, draw long, bits binary").limit(3 * (per_language + 20) * len(sizes)).collect()
+            out = []
+            for lang, drawn, text in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
+                if (lang, drawn) not in seen and has_letter(text):
+                    seen.add((lang, drawn))
+                    out.append((lang, drawn, np.packbits(presence([text])[0]).tobytes()))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), (pa.string(), pa.int64(), pa.binary()), strict=True)], names=["lang", "draw", "bits"])
+
+    got = sample.mapInArrow(features, "lang string, draw long, bits binary").distinct().collect()
     rows, taken = [], dict.fromkeys((r["lang"] for r in sizes), 0)
     for r in sorted(got, key=lambda r: (r["lang"], r["draw"], bytes(r["bits"]))):
         if taken[r["lang"]] < per_language:
