@@ -99,7 +99,7 @@ m AS (SELECT doc_id, len(ws)::bigint AS n_words, length(regexp_replace(t, '[\\x2
   (len(ls) - len(list_distinct(ls)))::bigint AS n_dup_lines, coalesce(c.n, 0)::bigint AS n_repeat_words, len(ls) AS n_lines,
   len(list_filter(ls, lambda x: regexp_matches(x, '^[\\x20\\x09-\\x0D]*(?:[-*•]|[0-9]+[.)])[\\x20\\x09]'))) AS n_bullet_lines,
   len(list_filter(ls, lambda x: regexp_matches(x, '(?:\\.\\.\\.|…)[\\x20\\x09-\\x0D]*$'))) AS n_ellipsis_lines,
-  len(list_distinct(list_filter(list_transform(ws, lambda x: lower(x)), lambda x: list_contains([{", ".join("'" + w + "'" for w in dict.fromkeys(STOP_WORDS))}], x)))) AS n_stop_words
+  len(list_filter(ws, lambda x: list_contains([{", ".join("'" + w + "'" for w in dict.fromkeys(STOP_WORDS))}], lower(x)))) AS n_stop_words
   FROM w LEFT JOIN c USING (doc_id)),
 b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
