@@ -6,10 +6,14 @@ become a control token.  Control strings inside content (these and those of comm
 are escaped, reversibly, so that the formatted text is unambiguous too.  The loss mask covers the text
 of assistant turns; it is the running sum of +1 at each such text's first token and -1 after its last.
 
-Turns are encoded where they lie, then dealt out by conversation and sorted by (turn, role, ids); a
-conversation is written in parts of a bounded number of tokens, so its length costs no memory.
-Null roles and texts count as empty, rows with a null conversation id form one conversation; repeated
-rows are turns of their own.  Other columns are not read.
+Turns are dealt out by ranges of (conversation, turn, role, text), the order in which they are written, so
+ties have one order and a conversation of any length is shared by several tasks.  Its tokens are written in
+parts of a bounded number, numbered in order.  Reading back takes parts in any order and any splits: each is
+decoded by itself, and what they hold is put in order by conversation and part for the digests.
+
+Null roles and texts count as empty, rows with a null conversation id form one conversation, null turns come
+first; repeated rows are turns of their own; a very long text is one turn, in a part of its own size; an empty
+table gives an empty one.  Columns other than these four, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -20,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -57,77 +62,92 @@ class _Ids:
         return "".join(self.bpe.decode_stream(ids))
 
 
+_FORMATTED = "conv_id long, part long, input_ids array<int>, loss_mask array<boolean>"
+_PARTS = 1 << 24  # parts that one task can write of a conversation
+
+
 def format_conversations(rows: DataFrame, path: str, pattern: str) -> DataFrame:
     """conv_id, part, input_ids, loss_mask of rows(conv_id, turn, role, text).
 
-    Most conversations are one part; longer ones go on in parts that follow each other in the same
-    partition, cut between turns.
+    Parts of a conversation follow each other by their numbers, which are not dense, and are cut between turns.
     """
     spark = rows.sparkSession
     ship(spark)
 
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = _Ids(path, pattern).bpe
-        for b in cut(batches, 3):
-            roles = [t or "" for t in b.column(2).to_pylist()]
-            texts = [t or "" for t in b.column(3).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    b.column(0),
-                    b.column(1),
-                    pa.array(roles, pa.string()),
-                    pa.array([c.encode(escape(t)) for t in roles], pa.list_(pa.int32())),
-                    pa.array([c.encode(escape(t)) for t in texts], pa.list_(pa.int32())),
-                ],
-                names=["conv_id", "turn", "role", "role_ids", "text_ids"],
-            )
-
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = _Ids(path, pattern)
-        started, conv, part = False, None, 0
+        encode = ids.bpe.encode
+        started, conv, part, size = False, None, 0, 0
+        before = TaskContext.get().partitionId() * _PARTS
         tokens: list[int] = []
         jumps: list[tuple[int, int]] = []
         ready: list[tuple] = []
 
         def close() -> None:
+            nonlocal size
             steps = np.zeros(len(tokens) + 1, dtype=np.int32)
             for at, by in jumps:
                 steps[at] += by
-            ready.append((conv, part, list(tokens), np.cumsum(steps)[:-1].astype(bool)))
+            ready.append((conv, before + part, np.array(tokens, dtype=np.int32), np.cumsum(steps)[:-1].astype(bool)))
+            size += len(tokens)
             tokens.clear()
             jumps.clear()
 
         def batch() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays(
-                [pa.array(x, k) for x, k in zip(zip(*ready, strict=True), (pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.bool_())), strict=True)],
-                names=["conv_id", "part", "input_ids", "loss_mask"],
-            )
+            nonlocal size
+            ends = pa.array(np.concatenate([[0], np.cumsum([len(r[2]) for r in ready])]).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate([r[k] for r in ready]))) for k in (2, 3)]
+            out = pa.RecordBatch.from_arrays([pa.array([r[0] for r in ready], pa.int64()), pa.array([r[1] for r in ready], pa.int64()), *lists], names=["conv_id", "part", "input_ids", "loss_mask"])
             ready.clear()
+            size = 0
             return out
 
         for b in batches:
-            for this, role, role_ids, text_ids in zip(*(b.column(k).to_pylist() for k in (0, 2, 3, 4)), strict=True):
-                if started and this != conv:
-                    close()
-                    part = 0
-                elif len(tokens) >= PART_TOKENS:
-                    close()
-                    part += 1
-                if sum(len(r[2]) for r in ready[-64:]) > PART_TOKENS or len(ready) >= 512:
-                    yield batch()
-                started, conv = True, this
-                tokens += [ids.turn, *role_ids, ids.text]
-                if role == LEARNED_ROLE:
-                    jumps += [(len(tokens), 1), (len(tokens) + len(text_ids), -1)]
-                tokens += [*text_ids, ids.end]
+            for some in cut(iter([b]), 3):
+                for this, role, text in zip(*(some.column(k).to_pylist() for k in (0, 2, 3)), strict=True):
+                    if started and this != conv:
+                        close()
+                        part = 0
+                    elif len(tokens) >= PART_TOKENS:
+                        close()
+                        part += 1
+                    if size > PART_TOKENS or len(ready) >= 512:
+                        yield batch()
+                    started, conv = True, this
+                    text_ids = encode(escape(text))
+                    tokens += [ids.turn, *encode(escape(role)), ids.text]
+                    if role == LEARNED_ROLE:
+                        jumps += [(len(tokens), 1), (len(tokens) + len(text_ids), -1)]
+                    tokens += [*text_ids, ids.end]
         if started:
             close()
             yield batch()
 
-    source = rows.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
-    encoded = source.mapInArrow(encode, "conv_id long, turn long, role string, role_ids array<int>, text_ids array<int>")
-    dealt = encoded.repartition(parallel(spark), "conv_id").sortWithinPartitions("conv_id", "turn", "role", "text_ids")
-    return dealt.mapInArrow(assemble, "conv_id long, part int, input_ids array<int>, loss_mask array<boolean>")
+    empty = F.lit("")
+    source = rows.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.coalesce("role", empty).alias("role"), F.coalesce("text", empty).alias("text"))
+    order = ("conv_id", "turn", "role", "text")
+    return source.repartitionByRange(parallel(spark), *order).sortWithinPartitions(*order).mapInArrow(assemble, _FORMATTED)
+
+
+class _Read:
+    """What one part holds: its turns' roles and texts, what lies under the mask, and the characters of it all."""
+
+    def __init__(self, ids: _Ids, tokens: np.ndarray, mask: np.ndarray):
+        listed = tokens.tolist()
+        turns, texts, ends = (np.flatnonzero(tokens == k).tolist() for k in (ids.turn, ids.text, ids.end))
+        self.turns, known = [], {}
+        self.chars = len(turns) * sum(map(len, CONTROL))
+        for t, x, e in zip(turns, texts, ends, strict=True):
+            role, text = ids.decode(listed[t + 1 : x]), ids.decode(listed[x + 1 : e])
+            self.chars += len(role) + len(text)
+            known[x + 1, e] = text = unescape(text)
+            self.turns.append((unescape(role), text))
+        # each stretch of the mask is one text
+        edges = np.flatnonzero(np.diff(np.concatenate([[False], mask, [False]]).astype(np.int8))).tolist()
+        self.loss = []
+        for a, z in zip(edges[::2], edges[1::2], strict=True):
+            text = known.get((a, z))
+            self.loss.append(unescape(ids.decode(listed[a:z])) if text is None else text)
 
 
 def formatted_text(ids: _Ids, tokens: list[int]) -> str:
@@ -143,54 +163,61 @@ def formatted_text(ids: _Ids, tokens: list[int]) -> str:
 
 
 def read_back(formatted: DataFrame, path: str, pattern: str) -> DataFrame:
-    """What the formatted conversations hold: one row a conversation, from ids and mask alone.
-
-    Takes the parts in the order in which format_conversations() leaves them.
-    """
-    ship(formatted.sparkSession)
-
-    class Sums:
-        def __init__(self, conv):
-            self.conv, self.turns, self.lost, self.chars = conv, 0, 0, 0
-            self.all, self.loss = hashlib.sha256(), hashlib.sha256()
-
-        def row(self) -> tuple:
-            return self.conv, self.turns, self.all.hexdigest(), self.lost, self.loss.hexdigest(), self.chars
+    """What the formatted conversations hold: one row a conversation, from ids and mask alone, in whatever order they come."""
+    spark = formatted.sparkSession
+    ship(spark)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = _Ids(path, pattern)
-        now: Sums | None = None
-
-        def out(rows: list[tuple]) -> pa.RecordBatch:
+        for b in batches:
+            offs = b.column(2).offsets.to_numpy()
+            tokens, mask = (np.asarray(b.column(k).values.to_numpy(zero_copy_only=False)) for k in (2, 3))
+            rows, size = [], 0
+            for k in range(len(b)):
+                read = _Read(ids, tokens[offs[k] : offs[k + 1]], mask[offs[k] : offs[k + 1]].astype(bool))
+                whole = "".join(f"{role}\n{text}\n" for role, text in read.turns).encode()
+                loss = "".join(read.loss)
+                rows.append((b.column(0)[k].as_py(), b.column(1)[k].as_py(), len(read.turns), whole, loss.encode(), len(loss), read.chars))
+                size += len(whole)
+                if size > PART_TOKENS:
+                    yield packed(rows)
+                    rows, size = [], 0
+            if rows:
+                yield packed(rows)
+
+    def packed(rows: list[tuple]) -> pa.RecordBatch:
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64())
+        names = ["conv_id", "part", "n_turns", "turns", "loss", "loss_chars", "chars"]
+        return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now: list | None = None  # conversation, its number of turns, loss characters and characters, and both digests
+
+        def out(rows: list[list]) -> pa.RecordBatch:
+            columns = [(r[0], r[1], r[4].hexdigest(), r[2], r[5].hexdigest(), r[3]) for r in rows]
             kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64())
             return pa.RecordBatch.from_arrays(
-                [pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)],
+                [pa.array(x, k) for x, k in zip(zip(*columns, strict=True), kinds, strict=True)],
                 names=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"],
             )
 
         for b in batches:
             done = []
-            for conv, part, tokens, mask in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
-                if part == 0:
+            for conv, _, n, turns, loss, loss_chars, chars in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if now is None or now[0] != conv:
                     if now is not None:
-                        done.append(now.row())
-                    now = Sums(conv)
-                tokens, mask = np.array(tokens, dtype=np.int64), np.array(mask, dtype=bool)
-                now.chars += len(formatted_text(ids, tokens.tolist()))
-                # each stretch of the mask is one text
-                edges = np.flatnonzero(np.diff(np.concatenate([[False], mask, [False]]).astype(np.int8)))
-                for a, z in edges.reshape(-1, 2):
-                    text = unescape(ids.decode(tokens[a:z].tolist()))
-                    now.lost += len(text)
-                    now.loss.update(text.encode())
-                turns, texts, ends = (np.flatnonzero(tokens == k) for k in (ids.turn, ids.text, ids.end))
-                for t, x, e in zip(turns, texts, ends, strict=True):
-                    role, text = (unescape(ids.decode(tokens[i + 1 : j].tolist())) for i, j in ((t, x), (x, e)))
-                    now.turns += 1
-                    now.all.update(f"{role}\n{text}\n".encode())
+                        done.append(now)
+                    now = [conv, 0, 0, 0, hashlib.sha256(), hashlib.sha256()]
+                now[1] += n
+                now[2] += loss_chars
+                now[3] += chars
+                now[4].update(turns)
+                now[5].update(loss)
             if done:
                 yield out(done)
         if now is not None:
-            yield out([now.row()])
+            yield out([now])
 
-    return formatted.mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    parts = formatted.select("conv_id", "part", "input_ids", "loss_mask").mapInArrow(decode, "conv_id long, part long, n_turns long, turns binary, loss binary, loss_chars long, chars long")
+    ordered = parts.repartition(parallel(spark), "conv_id").sortWithinPartitions("conv_id", "part")
+    return ordered.mapInArrow(digest, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")

@@ -10,6 +10,7 @@ import public_tokenizers  # noqa: E402
 import tiktoken  # noqa: E402
 from hypothesis import given, settings  # noqa: E402
 from hypothesis import strategies as st  # noqa: E402
+from pyspark.sql import functions as F  # noqa: E402
 
 from sparrowdex.llm import chat_format as chat  # noqa: E402
 from sparrowdex.llm import token_counts as tc  # noqa: E402
@@ -128,18 +129,24 @@ def test_escape_is_reversible(text):
 
 
 @pytest.mark.parametrize("part", [1 << 18, 8])
-def test_chat(spark, monkeypatch, part):
+def test_chat(spark, monkeypatch, tmp_path, part):
     monkeypatch.setattr(chat, "PART_TOKENS", part)
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     rows = [(1, 1, "assistant", "Hi <|end|> é"), (1, 0, "user", "hello"), (1, 2, None, None), (1, 3, "assistant", ""), (2, 0, "assistant", "x" * 50_000), (2, 1, "assistant", "</s>[INST] ok"), (None, 5, "user", "null id"), (1, 1, "assistant", "Hi <|end|> é")]
     rows += [(3, i, "user" if i % 2 else "assistant", f"turn {i}") for i in range(200)]
+    rows += [(3, 7, "user", t) for t in ("zebra", "apple", "Zebra", "é", "turn 7", "apple")] + [(3, 7, "assistant", "b"), (3, 7, "assistant", "a")]
     df = spark.createDataFrame([(*r, 1) for r in rows], "conv_id long, turn long, role string, text string, part int").repartition(3)
     formatted = chat.format_conversations(df, path, public_tokenizers.PATTERN)
     got = {r.conv_id: r for r in chat.read_back(formatted, path, public_tokenizers.PATTERN).collect()}
+    # from a stored table, in any order and any splits
+    formatted.write.parquet(str(tmp_path / "formatted"))
+    stored = spark.read.parquet(str(tmp_path / "formatted")).orderBy(F.rand(3)).repartition(7)
+    assert {r.conv_id: r for r in chat.read_back(stored, path, public_tokenizers.PATTERN).collect()} == got
     sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
     assert set(got) == {1, 2, 3, None}
     for conv in got:
-        turns = [(r or "", t or "") for _, _, r, t in sorted((x for x in rows if x[0] == conv), key=lambda x: x[1])]
+        # ties of turn go by role, then by text
+        turns = [(r or "", t or "") for _, _, r, t in sorted((x for x in rows if x[0] == conv), key=lambda x: (x[1], x[2] or "", x[3] or ""))]
         r = got[conv]
         lost = "".join(t for role, t in turns if role == "assistant")
         assert (r.n_turns, r.turns_sha256) == (len(turns), sha("".join(f"{a}\n{b}\n" for a, b in turns)))
