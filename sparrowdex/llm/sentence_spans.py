@@ -2,16 +2,20 @@
 
 A sentence ends at a word that ends in . ! or ?, or at a line break.  One of more than LONGEST words
 is cut further, after words whose hash is a multiple of CUT and at 4 * LONGEST words at the latest: the
-cuts follow the content, so that a passage is cut alike whatever stands before it.  From each sentence on, the shortest run of consecutive sentences that has RUN sentences and MIN_WORDS words or more is
-hashed (128 bits over ASCII-lower-cased words, so blanks do not matter).  If `whole`, a run needs MIN_WORDS
-words only, and the shortest one that ends with each sentence is hashed as well: then all whole sentences of
-a repeated passage are covered to its end once they have MIN_WORDS words.  Runs are joined over all
-documents; sentences covered by a run that occurred before - in a document of smaller id, or earlier
-in the same one - are removed with the blanks after them.
+cuts follow the content, so that a passage is cut alike whatever stands before it.  From each sentence on,
+the shortest run of consecutive sentences that has RUN sentences and MIN_WORDS words or more is hashed (128
+bits over ASCII-lower-cased words, so blanks do not matter).  If `whole`, a run needs MIN_WORDS words only,
+and the shortest one that ends with each sentence is hashed as well: then all whole sentences of a repeated
+passage are covered to its end once they have MIN_WORDS words.  A longer run that is repeated is covered by
+the shortest ones inside it, which are repeated too, so hashing these is hashing every run.  Runs are joined
+over all documents; sentences covered by a run that occurred before - in a document of smaller id, or
+earlier in the same one - are removed with the blanks after them.
 
 Null texts stay null and empty ones empty, with no sentences.  Rows equal in id and text are one
-document and all keep what it keeps; rows that only share an id are told apart by their text.  Rows
-without an id come last in the order.  Extra columns are not read.
+document and all keep what it keeps; rows that only share an id are told apart by their text, and come in
+the order of its hash.  Rows without an id come last in the order.  A very long text is cut whole, as a slice
+of its own.  An empty table gives an empty one.  Columns other than id and text, whatever their names, are
+not read.
 
 A run that occurs very often is one row of the table of first places, made with partial sums before
 the shuffle, and is joined back from written tables, where a frequent key can be split.

@@ -6,7 +6,10 @@ without a stored count are encoded; their counts are appended to the cache.
 
 Null text counts as empty (0 tokens).  Repeated texts are encoded once, whatever their number: the
 texts that are moved are one per distinct miss, chosen by row id, so a group of copies is never
-gathered in one task.  Rows with a null id are kept and counted.  Other columns are ignored.
+gathered in one task.  Rows with a null id are kept and counted, rows that share an id each by their own
+text; there is nothing to tie.  A very long text is counted whole, as a batch of its own.  An empty table
+gives an empty one and leaves the cache as it is.  Columns other than id and text, whatever their names,
+are not read.
 """
 
 from __future__ import annotations
