@@ -2,14 +2,15 @@
 
 A document's set holds its distinct 5-word shingles (ASCII-lower-cased words; fewer words: the whole
 sequence as one).  Documents link at Jaccard 0.8 or more, in integers: 100 * overlap >= 80 * union.
-Shingles are known by 64-bit hashes, sets by 128 bits and, once they are counted, by a number.
+Shingles are known by 64-bit hashes, sets by 128 bits (96 on the way through steps 2 and 3) and, once they are
+counted, by a number.
 
 1. Sets.  Each text is reduced to a digest of its set and the set's size; documents of equal sets are
    one node from here on (a third of all rows may be copies of one text: they are one node, and what
    a task has seen it does not send again).  The same pass counts shingles window by window; one that is
    met FEW times or more in a window may be frequent, all others are so rare that no task chokes on them.
-2. Frequencies.  Shingles are dealt out in packed blobs by their hash; a shingle met in two nodes or
-   more goes on, with its frequency.  Frequent ones (a bounded list) are dealt out by node instead, with
+2. Frequencies.  Shingles are dealt out in packed blobs by their hash, so many to a task whatever the corpus;
+   a shingle met in two nodes or more goes on, with its frequency.  Frequent ones (a bounded list) are dealt out by node instead, with
    the frequency that the first pass found: no shingle, however common, is gathered in one task.
 3. Prefixes.  If sets are ordered by (frequency, hash), two linked sets of size n share a shingle among
    their first n - ceil(0.8 n) + 1.  Those met in one node only cannot be shared, so most nodes drop out.
@@ -35,6 +36,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -52,7 +54,8 @@ FREQUENT = 1_000_000  # reports that make a shingle frequent, at least
 MOST_FREQUENT = 1 << 20  # frequent shingles, at most: the bound grows with the corpus instead
 PARTS_AT_ONCE = 4_096  # parts that blobs are dealt to in one step; more are dealt to in two
 FAMILY_SHINGLES = 1_500_000  # shingles of one block of a family
-FAMILY_SETS = 128
+FAMILY_SETS = 64
+BUCKET_SETS = 512  # sets of one block of a bucket
 _SEEN = 1 << 20
 
 
@@ -65,10 +68,23 @@ def _runs(values: np.ndarray) -> np.ndarray:
 
 _BLOBS = "part int, keys binary, ns binary, counts binary, hashes binary, dfs binary"
 _BLOB_NAMES = ["part", "keys", "ns", "counts", "hashes", "dfs"]
+_KEY = 12  # bytes of a set's digest that are dealt out
+_SHORT = 5  # bytes of a shingle's hash that tell it from the others of its part
+_SHORT_MASK = np.uint64((1 << 8 * _SHORT) - 1)
+
+
+def _narrow(values: np.ndarray, width: int) -> bytes:
+    return values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+
+
+def _wide(data: bytes, width: int) -> np.ndarray:
+    out = np.zeros((len(data) // width, 8), dtype=np.uint8)
+    out[:, :width] = np.frombuffer(data, dtype=np.uint8).reshape(-1, width)
+    return out.view("<u8").reshape(-1)
 
 
 class Entries:
-    """Shingles with the node each belongs to: keys (nodes x 2) and sizes ns by node, owner and hashes by entry, dfs by entry or None."""
+    """Shingles with the node each belongs to: keys and sizes ns by node, owner and hashes by entry, dfs by entry or None."""
 
     def __init__(self, keys: np.ndarray, ns: np.ndarray, owner: np.ndarray, hashes: np.ndarray, dfs: np.ndarray | None = None):
         self.keys, self.ns, self.owner, self.hashes, self.dfs = keys, ns, owner, hashes, dfs
@@ -77,27 +93,33 @@ class Entries:
     def of_sets(cls, sets: list[tuple[bytes, int, np.ndarray]], dfs: list[np.ndarray] | None = None) -> Entries:
         """Of (key, size, hashes) of each node."""
         lens = [len(h) for _, _, h in sets]
-        keys = np.frombuffer(b"".join(k for k, _, _ in sets), dtype=np.uint64).reshape(-1, 2)
+        keys = np.frombuffer(b"".join(k[:_KEY] for k, _, _ in sets), dtype=np.uint8).reshape(-1, _KEY)
         flat = np.concatenate([h for _, _, h in sets]) if sets else np.zeros(0, np.uint64)
         return cls(keys, np.array([n for _, n, _ in sets], dtype=np.int64), np.repeat(np.arange(len(sets)), lens), flat, np.concatenate(dfs) if dfs else None)
 
     @classmethod
-    def of_rows(cls, rows: pa.Table) -> Entries:
-        """Unpacked, with one number a node, whatever rows it came in."""
-        column = lambda name, kind: np.frombuffer(b"".join(x.as_py() for x in rows.column(name)), dtype=kind)
-        keys = column("keys", np.uint64).reshape(-1, 2)
-        order = np.lexsort((keys[:, 1], keys[:, 0]))
+    def of_rows(cls, rows: pa.Table, width: int = 8) -> Entries:
+        """Unpacked, with one number a node, whatever rows it came in; hashes were written in `width` bytes."""
+        joined = lambda name: b"".join(x.as_py() for x in rows.column(name))
+        column = lambda name: np.frombuffer(joined(name), dtype=np.uint32)
+        keys = np.frombuffer(joined("keys"), dtype=np.uint8).reshape(-1, _KEY)
+        low, high = keys[:, :8].copy().view(np.uint64).reshape(-1), keys[:, 8:].copy().view(np.uint32).reshape(-1)
+        order = np.lexsort((high, low))
         fresh = np.ones(len(keys), dtype=bool)
-        fresh[1:] = (keys[order][1:] != keys[order][:-1]).any(axis=1)
+        fresh[1:] = (low[order][1:] != low[order][:-1]) | (high[order][1:] != high[order][:-1])
         number = np.empty(len(keys), dtype=np.int64)
         number[order] = np.cumsum(fresh) - 1
-        dfs = column("dfs", np.uint32)
-        return cls(keys[order][fresh], column("ns", np.uint32)[order][fresh].astype(np.int64), np.repeat(number, column("counts", np.uint32)), column("hashes", np.uint64), dfs if len(dfs) else None)
+        dfs = column("dfs")
+        return cls(keys[order][fresh], column("ns")[order][fresh].astype(np.int64), np.repeat(number, column("counts")), _wide(joined("hashes"), width), dfs if len(dfs) else None)
 
     def take(self, at: np.ndarray) -> Entries:
         return Entries(self.keys, self.ns, self.owner[at], self.hashes[at], None if self.dfs is None else self.dfs[at])
 
-    def packed(self, part: np.ndarray) -> pa.RecordBatch:
+    def low(self) -> np.ndarray:
+        """64 bits of each entry's node."""
+        return self.keys[:, :8].copy().view(np.uint64).reshape(-1)[self.owner]
+
+    def packed(self, part: np.ndarray, width: int = 8) -> pa.RecordBatch:
         """One row for each part that occurs."""
         order = np.lexsort((self.owner, part))
         part, e = part[order], self.take(order)
@@ -107,14 +129,25 @@ class Entries:
             runs = _runs(e.owner[a:b])
             nodes = e.owner[a:b][runs[:-1]]
             dfs = b"" if e.dfs is None else e.dfs[a:b].astype(np.uint32).tobytes()
-            values = (int(part[a]), e.keys[nodes].tobytes(), e.ns[nodes].astype(np.uint32).tobytes(), np.diff(runs).astype(np.uint32).tobytes(), e.hashes[a:b].tobytes(), dfs)
+            values = (int(part[a]), e.keys[nodes].tobytes(), e.ns[nodes].astype(np.uint32).tobytes(), np.diff(runs).astype(np.uint32).tobytes(), _narrow(e.hashes[a:b], width), dfs)
             for out, x in zip(rows, values, strict=True):
                 out.append(x)
         return pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), *(pa.array(r, pa.binary()) for r in rows[1:])], names=_BLOB_NAMES)
 
 
+def _by_hash(e: Entries, parts: int) -> tuple[np.ndarray, Entries]:
+    """Each entry's part, and the entries with what tells their shingles apart within a part."""
+    part = (e.hashes % np.uint64(parts)).astype(np.int32)
+    return part, Entries(e.keys, e.ns, e.owner, (e.hashes // np.uint64(parts)) & _SHORT_MASK, e.dfs)
+
+
+def _tokens(part: np.ndarray, short: np.ndarray) -> np.ndarray:
+    """One number for a shingle, from its part and what tells it from others there."""
+    return part.astype(np.uint64) << np.uint64(8 * _SHORT) | short
+
+
 def _by_node(e: Entries, parts: int) -> np.ndarray:
-    return (e.keys[:, 0] % np.uint64(parts)).astype(np.int32)[e.owner]
+    return (e.low() % np.uint64(parts)).astype(np.int32)
 
 
 # --- sets and frequent shingles ---------------------------------------------------------------------
@@ -180,7 +213,7 @@ def frequent_shingles(keyed: DataFrame, total: int) -> tuple[np.ndarray, np.ndar
 
 
 def _prefixes(docs: DataFrame, total: int, tasks: int, width: int, num: int, den: int, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """token, k1, k2, n: the prefix shingles that at least two nodes hold (steps 2 and 3)."""
+    """token, k1, high, n: the prefix shingles that at least two nodes hold (steps 2 and 3); high is the low half of k2."""
     parts = max(tasks, -(-total // GROUP_SHINGLES))
     buckets = max(tasks, parts // 4)
     each = -(-parts // PARTS_AT_ONCE)  # parts of one first part, if there are two steps
@@ -195,9 +228,12 @@ def _prefixes(docs: DataFrame, total: int, tasks: int, width: int, num: int, den
 
         def flush() -> Iterator[pa.RecordBatch]:
             e = Entries.of_sets(held)
-            yield e.packed((e.hashes % np.uint64(parts)).astype(np.int32) // each)
+            part, short = _by_hash(e, parts)
+            yield short.packed(part, _SHORT) if each == 1 else e.packed(part // each)
             if often:
                 e = Entries.of_sets(often, often_df)
+                part, short = _by_hash(e, parts)
+                e.hashes = _tokens(part, short.hashes)
                 yield e.packed(_by_node(e, parts) // each)
 
         for b in batches:
@@ -231,12 +267,13 @@ def _prefixes(docs: DataFrame, total: int, tasks: int, width: int, num: int, den
         size = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            for alone, part_of in ((True, lambda e: (e.hashes % np.uint64(parts)).astype(np.int32)), (False, lambda e: _by_node(e, parts))):
-                rows = pa.Table.from_batches(held)
-                rows = rows.filter(pa.array([(len(x.as_py()) == 0) == alone for x in rows.column("dfs")], pa.bool_()))
-                if len(rows):
-                    e = Entries.of_rows(rows)
-                    yield e.packed(part_of(e))
+            rows = pa.Table.from_batches(held)
+            alone = pa.array([len(x.as_py()) == 0 for x in rows.column("dfs")], pa.bool_())
+            for mine, single in ((rows.filter(alone), True), (rows.filter(pc.invert(alone)), False)):
+                if len(mine):
+                    e = Entries.of_rows(mine)
+                    part, short = _by_hash(e, parts)
+                    yield short.packed(part, _SHORT) if single else e.packed(_by_node(e, parts))
 
         for b in batches:
             for k in range(len(b)):
@@ -253,7 +290,8 @@ def _prefixes(docs: DataFrame, total: int, tasks: int, width: int, num: int, den
         out = []
         rows = t.filter(alone)
         if len(rows):
-            e = Entries.of_rows(rows)
+            e = Entries.of_rows(rows, _SHORT)
+            e.hashes = _tokens(np.full(len(e.hashes), rows.column("part")[0].as_py()), e.hashes)
             e = e.take(np.argsort(e.hashes, kind="stable"))
             times = np.diff(_runs(e.hashes))
             e = e.take(np.flatnonzero(np.repeat(times > 1, times)))
@@ -266,7 +304,7 @@ def _prefixes(docs: DataFrame, total: int, tasks: int, width: int, num: int, den
             e = e.take(np.flatnonzero(e.dfs > 1))
             if len(e.hashes):
                 out.append(e.packed(_by_node(e, buckets)))
-        rows = t.filter(pa.compute.invert(alone))
+        rows = t.filter(pc.invert(alone))
         if len(rows):
             e = Entries.of_rows(rows)
             out.append(e.packed(_by_node(e, buckets)))
@@ -284,13 +322,16 @@ def _prefixes(docs: DataFrame, total: int, tasks: int, width: int, num: int, den
         n = e.ns[e.owner]
         length = n + (-num * n) // den + 1  # n - ceil(num * n / den) + 1
         keep = rank < length - (n - np.repeat(held, held))  # shingles of one node only come first
-        keys = e.keys[e.owner[keep]].view(np.int64)
-        return pa.table([pa.array(e.hashes[keep].view(np.int64)), pa.array(keys[:, 0].copy()), pa.array(keys[:, 1].copy()), pa.array(n[keep])], names=["token", "k1", "k2", "n"])
+        keys = e.keys[e.owner[keep]]
+        low, high = keys[:, :8].copy().view(np.int64).reshape(-1), keys[:, 8:].copy().view(np.uint32).reshape(-1).astype(np.int64)
+        return pa.table([pa.array(e.hashes[keep].view(np.int64)), pa.array(low), pa.array(high), pa.array(n[keep])], names=["token", "k1", "high", "n"])
 
     dealt = docs.select("text").mapInArrow(deal, _BLOBS)
     if each > 1:
         dealt = dealt.repartition(tasks, "part").mapInArrow(deal_on, _BLOBS)
-    return dealt.groupBy("part").applyInArrow(shared, _BLOBS).groupBy("part").applyInArrow(prefix, "token long, k1 long, k2 long, n long")
+    # as many tasks as parts, however many the session asks for: a task's share does not grow with the corpus
+    both = dealt.repartition(parts, "part").groupBy("part").applyInArrow(shared, _BLOBS)
+    return both.repartition(buckets, "part").groupBy("part").applyInArrow(prefix, "token long, k1 long, high long, n long")
 
 
 # --- families and trees -----------------------------------------------------------------------------
@@ -318,15 +359,15 @@ def _tree_links(num: int, den: int):
     return run
 
 
-def _blocks(n_shingles, n_sets):
-    """Blocks of a group of so many shingles and sets."""
-    return F.ceil(F.greatest(n_shingles / FAMILY_SHINGLES, n_sets / F.lit(FAMILY_SETS))).cast("int")
+def _blocks(n_shingles, n_sets, sets: int):
+    """Blocks of a group of so many shingles and sets, of at most `sets` sets each."""
+    return F.ceil(F.greatest(n_shingles / FAMILY_SHINGLES, n_sets / F.lit(sets))).cast("int")
 
 
 def _tree_join(docs: DataFrame, nodes: DataFrame, prefixes: DataFrame, families: DataFrame, width: int, num: int, den: int) -> DataFrame:
     """a, b: links that join all linked nodes of each family (step 5)."""
     members = nodes.join(families, "node")
-    blocks = written(members.groupBy("family").agg(_blocks(F.sum("n_shingles"), F.count("*")).alias("blocks")), "blocks")
+    blocks = written(members.groupBy("family").agg(_blocks(F.sum("n_shingles"), F.count("*"), FAMILY_SETS).alias("blocks")), "blocks")
     members = members.join(blocks, "family").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -371,13 +412,13 @@ def _tree_join(docs: DataFrame, nodes: DataFrame, prefixes: DataFrame, families:
         F.bit_xor(F.xxhash64("node")).alias("x1"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("x2"), F.sum("n_shingles").alias("size"),
     )
     once = stats.filter("least <> most").groupBy("n", "x1", "x2", "size").agg(F.min(F.struct("token", "grade")).alias("b"))
-    mixed = written(once.select("b.token", "b.grade", _blocks(F.col("size"), F.col("n")).alias("blocks")).withColumn("bucket", F.monotonically_increasing_id()), "mixed-buckets")
+    mixed = written(once.select("b.token", "b.grade", _blocks(F.col("size"), F.col("n"), BUCKET_SETS).alias("blocks")).withColumn("bucket", F.monotonically_increasing_id()), "mixed-buckets")
     if mixed.isEmpty():
         return first
     held = written(rows.join(mixed, ["token", "grade"]).select("bucket", "blocks", "node", "label", "n_shingles"), "bucket-members")
     most = held.groupBy("bucket", "label").count().groupBy("bucket").agg(F.max_by("label", F.struct("count", "label")).alias("most"))
     rest = held.join(most, "bucket").filter("label <> most")
-    heaps = written(rest.groupBy("bucket").agg(_blocks(F.sum("n_shingles"), F.count("*")).alias("heaps")), "heaps")
+    heaps = written(rest.groupBy("bucket").agg(_blocks(F.sum("n_shingles"), F.count("*"), BUCKET_SETS).alias("heaps")), "heaps")
     blobs = full.select("node", "shingles")
     # whoever has another label than most of a bucket meets all of it
     rest = rest.join(heaps, "bucket").withColumn("heap", F.pmod(F.xxhash64("node", F.lit(2)), F.col("heaps")).cast("int"))
@@ -411,7 +452,8 @@ def component_rows(docs: DataFrame, num: int = 80, den: int = 100, width: int =
     found = _prefixes(docs, total, parallel(spark), width, num, den, frequent_shingles(keyed, total))
     # sizes of one grade, or of neighbouring ones, are those that a link allows
     grade = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(den / num * 1.0000001))).cast("int")
-    prefixes = written(written(found, "prefix-keys").join(nodes.select("k1", "k2", "node"), ["k1", "k2"]).select("token", "node", grade.alias("grade")), "prefixes")
+    keys = nodes.select("k1", F.col("k2").bitwiseAND(F.lit(0xFFFFFFFF)).alias("high"), "node")
+    prefixes = written(written(found, "prefix-keys").join(keys, ["k1", "high"]).select("token", "node", grade.alias("grade")), "prefixes")
     families = written(_families(prefixes), "families")
     links = _tree_join(docs, nodes, prefixes, families, width, num, den)
     joined = written(components(links), "components")

@@ -71,7 +71,7 @@ def got(df):
 
 
 #: Small bounds, so that what is for large tables is met on a small one.
-BLOCKS = {"FAMILY_SETS": 8, "GROUP_SHINGLES": 500, "FLUSH_SHINGLES": 2_000}
+BLOCKS = {"FAMILY_SETS": 8, "BUCKET_SETS": 6, "GROUP_SHINGLES": 500, "FLUSH_SHINGLES": 2_000}
 FREQUENT = {"FEW": 2, "FREQUENT": 4, "WINDOW_SHINGLES": 5_000}
 TWO_STEPS = {"GROUP_SHINGLES": 500, "FLUSH_SHINGLES": 300, "PARTS_AT_ONCE": 3}
 
@@ -88,7 +88,7 @@ def test_matches_brute_force(spark, bounds, monkeypatch):
 
 def test_frequent_shingles_go_by_node(spark, monkeypatch):
     """A passage in every document: its shingles are in no group of shingles, and links that hang on it are found."""
-    for name, value in {"FEW": 2, "FREQUENT": 50, "WINDOW_SHINGLES": 3_000, "FAMILY_SETS": 16}.items():
+    for name, value in {"FEW": 2, "FREQUENT": 50, "WINDOW_SHINGLES": 3_000, "FAMILY_SETS": 16, "BUCKET_SETS": 20}.items():
         monkeypatch.setattr(ngram, name, value)
     r = random.Random(1)
     words = [f"w{i}" for i in range(300)]
