@@ -57,13 +57,13 @@ def presence(texts: list[str]) -> np.ndarray:
     out = np.zeros((len(parts), _SIZE), dtype=np.uint8)
     flat = out.reshape(-1)
     whole = np.frombuffer(b"".join(parts), dtype=np.uint8)
-    bounds = np.cumsum([len(p) for p in parts])
+    bounds = np.concatenate([[0], np.cumsum([len(p) for p in parts])])
     longest = max(_WIDTHS)
     for lo in range(0, len(whole), _SEGMENT):
         data = _FOLD[whole[lo : lo + _SEGMENT + longest - 1]].astype(np.uint32)
         at = np.arange(lo, lo + len(data))
-        text = np.searchsorted(bounds, at, side="right")
-        row, ends = text * _SIZE, bounds[text]
+        sizes = np.diff(np.clip(bounds, lo, lo + len(data)))
+        row, ends = np.repeat(np.arange(len(parts)) * _SIZE, sizes), np.repeat(bounds[1:], sizes)
         code, base = data, 0
         for n, width in _WIDTHS.items():
             if n > 1:
