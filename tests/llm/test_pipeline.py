@@ -108,3 +108,21 @@ def test_foreign_scripts_and_gibberish_go(spark, folder):
     planted = spark.createDataFrame([(1000 + i, t, None, "s", len(t)) for i, t in enumerate(FOREIGN)], docs.schema)
     got = {r.doc_id for r in pipe.language(spark, docs.union(planted), at).collect()}
     assert got == {r[0] for r in rows} - {400, 401, 402}
+
+
+def test_empty_tables(spark, tmp_path):
+    docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    docs.selectExpr("doc_id", "1 quality", "0 toxic").write.parquet(f"{tmp_path}/labels.parquet")
+    assert pipe.run(spark, str(tmp_path)).collect() == []
+
+
+def test_unrelated_texts_under_one_id_and_a_long_text(spark, folder):
+    at, rows = folder
+    docs = spark.read.parquet(f"{at}/documents.parquet").drop("extra")
+    texts = [" ".join(reversed(rows[2][1].split())), " ".join(rows[4][1].split()[::2]), (rows[6][1] + " ") * 2_000]
+    planted = spark.createDataFrame([(2, texts[0], "en", "s", 1), (2, texts[1], "en", "s", 1), (2, texts[1], "en", "s", 1), (900, texts[2], "en", "s", 1)], docs.schema)
+    kept = pipe.near_duplicates(spark, docs.union(planted).filter("doc_id is not null and text <> ''"), at)
+    assert sorted(r.text for r in kept.filter("doc_id = 2").collect()) == sorted([rows[2][1], *texts[:2]])
+    out = pipe.encoding(spark, pipe.personal_data(spark, planted.filter("doc_id = 900"), at), at).first()
+    assert out.n_tokens > 100_000
