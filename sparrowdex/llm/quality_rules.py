@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import bound
+
 _BLANK = "[\\x20\\x09-\\x0D]+"
 _SYMBOLS = "#*$%&|<>"
 
@@ -41,10 +43,6 @@ THRESHOLDS = (
 )
 
 
-#: A stop word between blanks.
-_STOP = f"(?<![^\\x20\\x09-\\x0D])(?:{'|'.join(dict.fromkeys(STOP_WORDS))})(?![^\\x20\\x09-\\x0D])"
-
-
 def base_columns(text: Column) -> dict[str, Column]:
     """Arrays that the counts are taken from: words and lines with a word."""
     return {
@@ -56,13 +54,9 @@ def base_columns(text: Column) -> dict[str, Column]:
 def repeat_words(words: Column, n: Column) -> Column:
     """Words lying in a 3-word window that occurs twice or more in the text.
 
-    Windows are sorted with their positions by a 64-bit hash; neighbours that agree are repeats; the
-    covered words are summed over the sorted positions of repeats.
+    Windows are known by 64-bit hashes of their words' hashes.  Only where some agree are they sorted with
+    their positions: neighbours that agree are repeats, and the covered words are summed over their positions.
     """
-    at = F.sequence(F.lit(0), n - 3)
-    keyed = F.array_sort(
-        F.transform(at, lambda i: F.struct(F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)).alias("h"), i.alias("i")))
-    )
 
     def covered(s: Column) -> Column:
         hit = F.filter(
@@ -84,8 +78,12 @@ def repeat_words(words: Column, n: Column) -> Column:
             lambda acc: acc["sum"],
         )
 
-    # one-element transform binds the sorted windows to a lambda variable: evaluated once
-    return F.when(n < 3, F.lit(0)).otherwise(F.element_at(F.transform(F.array(keyed), covered), 1))
+    def counted(h: Column) -> Column:
+        placed = F.array_sort(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
+        return F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(bound(placed, covered))
+
+    windows = lambda a: F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.xxhash64(F.get(a, i), F.get(a, i + 1), F.get(a, i + 2)))
+    return F.when(n < 3, F.lit(0)).otherwise(bound(bound(F.transform(words, lambda w: F.xxhash64(w)), windows), counted))
 
 
 def measure(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -104,7 +102,7 @@ def measure(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") ->
         F.size(lines).cast("long").alias("n_lines"),
         F.size(F.filter(lines, lambda x: x.rlike(r"^[\x20\x09-\x0D]*(?:[-*•]|\d+[.)])[\x20\x09]"))).cast("long").alias("n_bullet_lines"),
         F.size(F.filter(lines, lambda x: x.rlike(r"(?:\.\.\.|…)[\x20\x09-\x0D]*$"))).cast("long").alias("n_ellipsis_lines"),
-        F.regexp_count(F.lower("_text"), F.lit(_STOP)).cast("long").alias("n_stop_words"),
+        F.size(F.filter(F.split(F.lower("_text"), _BLANK), lambda w: w.isin(*dict.fromkeys(STOP_WORDS)))).cast("long").alias("n_stop_words"),
     )
 
 
