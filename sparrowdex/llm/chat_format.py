@@ -130,24 +130,40 @@ def format_conversations(rows: DataFrame, path: str, pattern: str) -> DataFrame:
 
 
 class _Read:
-    """What one part holds: its turns' roles and texts, what lies under the mask, and the characters of it all."""
+    """What one part holds: its turns as bytes to digest, what lies under the mask, and the characters of it all.
+
+    A stretch of the mask that is just a turn's text is a place in the turns' bytes; any other one is added behind.
+    """
 
     def __init__(self, ids: _Ids, tokens: np.ndarray, mask: np.ndarray):
         listed = tokens.tolist()
         turns, texts, ends = (np.flatnonzero(tokens == k).tolist() for k in (ids.turn, ids.text, ids.end))
-        self.turns, known = [], {}
-        self.chars = len(turns) * sum(map(len, CONTROL))
+        self.n_turns, self.chars = len(turns), len(turns) * sum(map(len, CONTROL))
+        held, size, known = [], 0, {}
         for t, x, e in zip(turns, texts, ends, strict=True):
             role, text = ids.decode(listed[t + 1 : x]), ids.decode(listed[x + 1 : e])
             self.chars += len(role) + len(text)
-            known[x + 1, e] = text = unescape(text)
-            self.turns.append((unescape(role), text))
-        # each stretch of the mask is one text
+            head, text = f"{unescape(role)}\n".encode(), unescape(text)
+            body = text.encode()
+            known[x + 1, e] = (size + len(head), size + len(head) + len(body), len(text))
+            held += [head, body, b"\n"]
+            size += len(head) + len(body) + 1
+        self.turn_bytes, self.spans, self.loss_chars = size, [], 0
         edges = np.flatnonzero(np.diff(np.concatenate([[False], mask, [False]]).astype(np.int8))).tolist()
-        self.loss = []
         for a, z in zip(edges[::2], edges[1::2], strict=True):
-            text = known.get((a, z))
-            self.loss.append(unescape(ids.decode(listed[a:z])) if text is None else text)
+            if (a, z) in known:
+                start, stop, n = known[a, z]
+            else:
+                text = unescape(formatted_text(ids, listed[a:z]))
+                held.append(text.encode())
+                start, stop, n = size, size + len(held[-1]), len(text)
+                size = stop
+            self.spans += [start, stop]
+            self.loss_chars += n
+        self.data = b"".join(held)
+
+    def row(self) -> tuple:
+        return self.n_turns, self.data, self.turn_bytes, self.spans, self.loss_chars, self.chars
 
 
 def formatted_text(ids: _Ids, tokens: list[int]) -> str:
@@ -175,10 +191,8 @@ def read_back(formatted: DataFrame, path: str, pattern: str) -> DataFrame:
             rows, size = [], 0
             for k in range(len(b)):
                 read = _Read(ids, tokens[offs[k] : offs[k + 1]], mask[offs[k] : offs[k + 1]].astype(bool))
-                whole = "".join(f"{role}\n{text}\n" for role, text in read.turns).encode()
-                loss = "".join(read.loss)
-                rows.append((b.column(0)[k].as_py(), b.column(1)[k].as_py(), len(read.turns), whole, loss.encode(), len(loss), read.chars))
-                size += len(whole)
+                rows.append((b.column(0)[k].as_py(), b.column(1)[k].as_py(), *read.row()))
+                size += len(read.data)
                 if size > PART_TOKENS:
                     yield packed(rows)
                     rows, size = [], 0
@@ -186,8 +200,8 @@ def read_back(formatted: DataFrame, path: str, pattern: str) -> DataFrame:
                 yield packed(rows)
 
     def packed(rows: list[tuple]) -> pa.RecordBatch:
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64())
-        names = ["conv_id", "part", "n_turns", "turns", "loss", "loss_chars", "chars"]
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.list_(pa.int64()), pa.int64(), pa.int64())
+        names = ["conv_id", "part", "n_turns", "data", "turn_bytes", "spans", "loss_chars", "chars"]
         return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,7 +217,7 @@ def read_back(formatted: DataFrame, path: str, pattern: str) -> DataFrame:
 
         for b in batches:
             done = []
-            for conv, _, n, turns, loss, loss_chars, chars in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for conv, _, n, data, turn_bytes, spans, loss_chars, chars in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if now is None or now[0] != conv:
                     if now is not None:
                         done.append(now)
@@ -211,13 +225,15 @@ def read_back(formatted: DataFrame, path: str, pattern: str) -> DataFrame:
                 now[1] += n
                 now[2] += loss_chars
                 now[3] += chars
-                now[4].update(turns)
-                now[5].update(loss)
+                whole = memoryview(data)
+                now[4].update(whole[:turn_bytes])
+                for start, stop in zip(spans[::2], spans[1::2], strict=True):
+                    now[5].update(whole[start:stop])
             if done:
                 yield out(done)
         if now is not None:
             yield out([now])
 
-    parts = formatted.select("conv_id", "part", "input_ids", "loss_mask").mapInArrow(decode, "conv_id long, part long, n_turns long, turns binary, loss binary, loss_chars long, chars long")
+    parts = formatted.select("conv_id", "part", "input_ids", "loss_mask").mapInArrow(decode, "conv_id long, part long, n_turns long, data binary, turn_bytes long, spans array<long>, loss_chars long, chars long")
     ordered = parts.repartition(parallel(spark), "conv_id").sortWithinPartitions("conv_id", "part")
     return ordered.mapInArrow(digest, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")

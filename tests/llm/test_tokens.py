@@ -152,6 +152,10 @@ def test_chat(spark, monkeypatch, tmp_path, part):
         assert (r.n_turns, r.turns_sha256) == (len(turns), sha("".join(f"{a}\n{b}\n" for a, b in turns)))
         assert (r.loss_chars, r.loss_sha256) == (len(lost), sha(lost))
         assert r.formatted_chars == sum(len(chat.escape(a)) + len(chat.escape(b)) + sum(map(len, chat.CONTROL)) for a, b in turns)
+    # a mask that is no turn's text is read as it lies
+    odd = formatted.withColumn("loss_mask", F.transform("loss_mask", lambda m, i: i < 4))
+    first = {r.conv_id: r for r in chat.read_back(odd, path, public_tokenizers.PATTERN).collect()}[2]
+    assert first.loss_chars > 0 and first.turns_sha256 == got[2].turns_sha256
     if part == 8:
         assert formatted.filter("part > 0").count() > 10
     assert chat.read_back(chat.format_conversations(df.limit(0), path, public_tokenizers.PATTERN), path, public_tokenizers.PATTERN).collect() == []
