@@ -602,6 +602,25 @@ def js_chunks(spark, sf_dir):
     return _parsed(spark, sf_dir, _SCRIPT, ".ts")
 
 
+# 0 to 3 good lines, a bad one, a good one, and a second bad one in a third of the files
+_BROKEN = r"""concat(repeat('a = 1\n', k), 'b = )\n', 'def f():\n    return 1\n', if(i % 3 = 0, 'c = [1\n', ''))"""
+
+
+@query("parse_errors", """WITH d AS (SELECT doc_id AS i, doc_id % 4 AS k, 'src/m' || doc_id || '.py' AS path FROM documents), e AS (SELECT path, k + 1 AS n FROM d UNION ALL SELECT path, k + 4 FROM d WHERE i % 3 = 0)
+SELECT path AS file_path, 'parse_error:' || n AS symbol, n::int AS start_line, n::int AS end_line FROM e""")
+def parse_errors(spark, sf_dir):
+    return _parsed(spark, sf_dir, _BROKEN, ".py").filter("chunk_type = 'parse_error'").select("file_path", "symbol", "start_line", "end_line")
+
+
+@query("vector_metadata", f"SELECT id, file_path, '' AS module, language, '' AS commit, chunk_type, symbol, '' AS qualified_symbol, 1 AS start_line, length(content)::int AS end_line, '' AS file_metadata_id, false AS has_parse_errors, id AS ord FROM ({CHUNKS_SQL})")
+def vector_metadata(spark, sf_dir):
+    from ..sources.stores import vector_metadata as carried
+
+    none = F.lit(None).cast("string")
+    rows = chunks(spark, sf_dir).withColumns({c: none for c in ("module", "commit", "qualified_symbol", "file_metadata_id")})
+    return carried(rows.withColumns({"start_line": F.lit(1), "end_line": F.length("content"), "has_parse_errors": F.lit(False)}))
+
+
 # the first eight hex digits of a term's MD5 give its place and sign
 @query("embed_plugin", f"""WITH t AS (SELECT doc_id AS id, unnest({TERMS_SQL.replace("content", "text")}) AS w FROM documents),
 h AS (SELECT id, ('0x' || md5(w)[1:8])::bigint AS h FROM t), s AS (SELECT id, (h // 2) % 64 AS place, sum(CASE WHEN h % 2 = 1 THEN 1 ELSE -1 END) AS v FROM h GROUP BY 1, 2),
