@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .keyword import top_k
 
-#: Questions that are sent to every task at once; more are taken in blocks of this size.
+#: Questions that meet a vector at once, about; that many are sent to every task, more are dealt to blocks.
 QUESTION_BLOCK = 512
 
 
@@ -30,29 +30,17 @@ def similarity(a: Column, b: Column, metric: str = "cosine") -> Column:
 def vector_scores(vectors: DataFrame, questions: DataFrame, metric: str = "cosine", carry: tuple[str, ...] = ()) -> DataFrame:
     """qid, id, score of every vector(id, embedding) for every question(qid, qvec).
 
-    A stated set of questions against all rows: each block of questions is a literal of bounded size
-    in the plan, so vectors are scanned where they lie and nothing is shuffled.
+    A stated set of questions against all rows: a block of questions is one row, so a vector meets as many
+    rows as there are blocks.  One block is broadcast, its size being bounded; vectors are then scanned where
+    they lie and nothing is shuffled.  More blocks are met in Spark's own way, and never pass the driver.
     """
-    asked = questions.select("qid", F.col("qvec").cast("array<float>").alias("qvec")).sort("qid").toLocalIterator()
-    kind = questions.schema["qid"].dataType.simpleString()
-    blocks, held = [], []
-
-    def scored(rows: list) -> DataFrame:
-        block = vectors.sparkSession.createDataFrame(rows, f"qid {kind}, qvec array<float>").agg(F.collect_list(F.struct("qid", "qvec")).alias("asked"))
-        pairs = vectors.select("id", *carry, "embedding").join(F.broadcast(block)).select("id", *carry, "embedding", F.explode("asked").alias("q"))
-        return pairs.select("q.qid", "id", *carry, similarity(F.col("embedding"), F.col("q.qvec"), metric).alias("score"))
-
-    for r in asked:
-        held.append((r["qid"], r["qvec"]))
-        if len(held) == QUESTION_BLOCK:
-            blocks.append(scored(held))
-            held = []
-    if held or not blocks:
-        blocks.append(scored(held))
-    out = blocks[0]
-    for b in blocks[1:]:
-        out = out.union(b)
-    return out
+    blocks = max(1, -(-questions.count() // QUESTION_BLOCK))
+    block = F.pmod(F.xxhash64("qid"), F.lit(blocks)).alias("_block")
+    row = F.struct("qid", F.col("qvec").cast("array<float>").alias("qvec"))
+    asked = questions.select(block, row.alias("q")).groupBy("_block").agg(F.collect_list("q").alias("asked")).select("asked")
+    pairs = vectors.select("id", *carry, "embedding").crossJoin(F.broadcast(asked) if blocks == 1 else asked)
+    scored = pairs.select("id", *carry, "embedding", F.explode("asked").alias("q"))
+    return scored.select("q.qid", "id", *carry, similarity(F.col("embedding"), F.col("q.qvec"), metric).alias("score"))
 
 
 def vector_search(vectors: DataFrame, questions: DataFrame, k: int, metric: str = "cosine") -> DataFrame:

@@ -1,6 +1,7 @@
 import json
 import logging
 import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 from sparrowdex import http, logs
 from sparrowdex.functions import text as tx
 from sparrowdex.functions.predicates import MetadataFilters, path_prefix, searchable
-from sparrowdex.operators import evaluation, hybrid, keyword
+from sparrowdex.operators import evaluation, hybrid, keyword, vector
 from sparrowdex.operators.models import ColumnReranker, FunctionReranker, HashedWords, KeywordEmbedder, build_embedder, build_reranker, in_batches
 from sparrowdex.operators.prompt import format_matches, matches_json, preview, prompts
 from sparrowdex.plans import ask as asking
@@ -63,6 +64,18 @@ def test_neighbours(spark):
     assert [hybrid.retrieve(chunks, vectors, asked, 1, settings=Settings(context_window_parts=w)).count() for w in (0, 1)] == [1, 3]
 
 
+def test_blocks_of_questions(spark, monkeypatch):
+    r = random.Random(3)
+    vec = lambda: [r.uniform(-1, 1) for _ in range(4)]
+    vectors = spark.createDataFrame([(f"v{i}", vec()) for i in range(40)], "id string, embedding array<float>")
+    asked = spark.createDataFrame([(i, vec()) for i in range(25)], "qid int, qvec array<float>")
+    shape = lambda: sorted(map(tuple, vector.vector_search(vectors, asked, 3).select("qid", "id", "rank").collect()))
+    one = shape()
+    monkeypatch.setattr(vector, "QUESTION_BLOCK", 4)
+    assert shape() == one and len(one) == 75
+    assert vector.vector_scores(vectors, asked.limit(0)).collect() == []
+
+
 def test_filters(spark):
     paths = spark.createDataFrame([("quay/east/rail.py",)], "p string")
     for prefix, want in (("quay", True), ("quay/east/rail.py", True), ("/quay/east/", True), ("qua", False), ("quay/east/rail", False), ("/", True)):
