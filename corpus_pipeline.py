@@ -21,7 +21,7 @@ from sparrowdex.llm.soft_mixing import label_sample, mixed
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: A document stays if its language is known and scores this share of the way from chance to certainty.  A text
 #: unlike all of K languages scores about 1 / K, and a little more by chance: with the corpus' four, foreign
-#: scripts and gibberish are at 0.31-0.35 and the bound is 0.4.  Of 1,959 held-out documents at sf0.1 whose
+#: scripts and gibberish are at 0.29-0.35 and the bound is 0.4.  Of 1,958 held-out documents at sf0.1 whose
 #: language is found right, two of one word each are below it.
 LEAST_ABOVE_CHANCE = 0.2
 #: Shares of all tokens after mixing.
