@@ -55,7 +55,7 @@ MOST_FREQUENT = 1 << 20  # frequent shingles, at most: the bound grows with the
 PARTS_AT_ONCE = 4_096  # parts that blobs are dealt to in one step; more are dealt to in two
 FAMILY_SHINGLES = 1_500_000  # shingles of one block of a family
 FAMILY_SETS = 64
-BUCKET_SETS = 512  # sets of one block of a bucket
+BUCKET_SETS = 256  # sets of one block of a bucket
 _SEEN = 1 << 20
 
 
@@ -135,6 +135,32 @@ class Entries:
         return pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), *(pa.array(r, pa.binary()) for r in rows[1:])], names=_BLOB_NAMES)
 
 
+def _even_labels(parts: int) -> np.ndarray:
+    """A label for each part, all of which Spark's hash of an integer deals to partitions of their own.
+
+    Were that hash another one, parts would only lie less evenly.
+    """
+    out = np.full(parts, -1, dtype=np.int64)
+    lo, step = 0, max(1024, 4 * parts)
+    rotated = lambda x, r: x << np.uint32(r) | x >> np.uint32(32 - r)
+    with np.errstate(over="ignore"):
+        while (out < 0).any() and lo + step < 1 << 31:
+            label = np.arange(lo, lo + step, dtype=np.uint32)
+            # Murmur3 of one 32-bit number with the seed 42
+            h = np.uint32(42) ^ rotated(label * np.uint32(0xCC9E2D51), 15) * np.uint32(0x1B873593)
+            h = (rotated(h, 13) * np.uint32(5) + np.uint32(0xE6546B64)) ^ np.uint32(4)
+            h = (h ^ h >> np.uint32(16)) * np.uint32(0x85EBCA6B)
+            h = (h ^ h >> np.uint32(13)) * np.uint32(0xC2B2AE35)
+            place = (h ^ h >> np.uint32(16)).view(np.int32).astype(np.int64) % parts
+            place, first = np.unique(place, return_index=True)
+            free = out[place] < 0
+            out[place[free]] = label[first[free]]
+            lo += step
+    left = np.flatnonzero(out < 0)
+    out[left] = (1 << 31) - 1 - np.arange(len(left))
+    return out.astype(np.int32)
+
+
 def _by_hash(e: Entries, parts: int) -> tuple[np.ndarray, Entries]:
     """Each entry's part, and the entries with what tells their shingles apart within a part."""
     part = (e.hashes % np.uint64(parts)).astype(np.int32)
@@ -217,6 +243,8 @@ def _prefixes(docs: DataFrame, total: int, tasks: int, width: int, num: int, den
     parts = max(tasks, -(-total // GROUP_SHINGLES))
     buckets = max(tasks, parts // 4)
     each = -(-parts // PARTS_AT_ONCE)  # parts of one first part, if there are two steps
+    # what rows are dealt by: a number for each part that brings it to a partition of its own
+    label, bucket_label = _even_labels(parts), _even_labels(buckets)
     common, common_df = frequent
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -229,12 +257,12 @@ def _prefixes(docs: DataFrame, total: int, tasks: int, width: int, num: int, den
         def flush() -> Iterator[pa.RecordBatch]:
             e = Entries.of_sets(held)
             part, short = _by_hash(e, parts)
-            yield short.packed(part, _SHORT) if each == 1 else e.packed(part // each)
+            yield short.packed(label[part], _SHORT) if each == 1 else e.packed(part // each)
             if often:
                 e = Entries.of_sets(often, often_df)
                 part, short = _by_hash(e, parts)
                 e.hashes = _tokens(part, short.hashes)
-                yield e.packed(_by_node(e, parts) // each)
+                yield e.packed(label[_by_node(e, parts)] if each == 1 else _by_node(e, parts) // each)
 
         for b in batches:
             for _, _, data, offs in slices(b.column(0)):
@@ -273,7 +301,7 @@ def _prefixes(docs: DataFrame, total: int, tasks: int, width: int, num: int, den
                 if len(mine):
                     e = Entries.of_rows(mine)
                     part, short = _by_hash(e, parts)
-                    yield short.packed(part, _SHORT) if single else e.packed(_by_node(e, parts))
+                    yield short.packed(label[part], _SHORT) if single else e.packed(label[_by_node(e, parts)])
 
         for b in batches:
             for k in range(len(b)):
@@ -291,7 +319,8 @@ def _prefixes(docs: DataFrame, total: int, tasks: int, width: int, num: int, den
         rows = t.filter(alone)
         if len(rows):
             e = Entries.of_rows(rows, _SHORT)
-            e.hashes = _tokens(np.full(len(e.hashes), rows.column("part")[0].as_py()), e.hashes)
+            part = np.flatnonzero(label == rows.column("part")[0].as_py())
+            e.hashes = _tokens(np.full(len(e.hashes), part[0]), e.hashes)
             e = e.take(np.argsort(e.hashes, kind="stable"))
             times = np.diff(_runs(e.hashes))
             e = e.take(np.flatnonzero(np.repeat(times > 1, times)))
@@ -303,11 +332,11 @@ def _prefixes(docs: DataFrame, total: int, tasks: int, width: int, num: int, den
             e.dfs = np.repeat(times, times).astype(np.uint32)
             e = e.take(np.flatnonzero(e.dfs > 1))
             if len(e.hashes):
-                out.append(e.packed(_by_node(e, buckets)))
+                out.append(e.packed(bucket_label[_by_node(e, buckets)]))
         rows = t.filter(pc.invert(alone))
         if len(rows):
             e = Entries.of_rows(rows)
-            out.append(e.packed(_by_node(e, buckets)))
+            out.append(e.packed(bucket_label[_by_node(e, buckets)]))
         return pa.Table.from_batches(out) if out else t.slice(0, 0).select(_BLOB_NAMES)
 
     def prefix(t: pa.Table) -> pa.Table:

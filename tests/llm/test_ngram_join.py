@@ -86,6 +86,14 @@ def test_matches_brute_force(spark, bounds, monkeypatch):
     assert got(ngram.ngram_components(df)) == brute(rows)
 
 
+@pytest.mark.parametrize("parts", [1, 7, 58, 3000])
+def test_labels_lie_in_partitions_of_their_own(spark, parts):
+    labels = ngram._even_labels(parts)
+    rows = spark.createDataFrame([(int(x), i) for i, x in enumerate(labels)], "label int, part int")
+    places = [tuple(r) for r in rows.select("part", F.pmod(F.hash("label"), F.lit(parts))).collect()]
+    assert len(set(labels.tolist())) == parts and all(a == b for a, b in places)
+
+
 def test_frequent_shingles_go_by_node(spark, monkeypatch):
     """A passage in every document: its shingles are in no group of shingles, and links that hang on it are found."""
     for name, value in {"FEW": 2, "FREQUENT": 50, "WINDOW_SHINGLES": 3_000, "FAMILY_SETS": 16, "BUCKET_SETS": 20}.items():
