@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytewords import cut
-from .shared import ship
+from .shared import give_back, ship
 
 _MEMO_PIECES = 1 << 18
 _MET = 1 << 22
@@ -366,6 +366,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, text_col: str = "
                 [b.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array(map(len, ids), pa.int64()), pa.array(map(c.decoded_digest, ids), pa.string())],
                 names=["doc_id", "ids", "n_tokens", "decoded_sha256"],
             )
+        give_back()
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, ids array<int>, n_tokens long, decoded_sha256 string")

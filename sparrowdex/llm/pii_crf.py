@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .bytewords import LOWER, cut, slices, word_hashes
 from .pii_table import GIVEN_NAMES, Row, labelled_table
-from .shared import ship
+from .shared import give_back, ship
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 MODEL_KINDS = ("person", "local_phone", "spoken_email", "secret")
@@ -539,5 +539,6 @@ def redact(docs: DataFrame, text_col: str = "text", model: Crf | None = None) ->
             column = b.column(at)
             new = [None if null else mask(t, s) for (t, _, s), null in zip(find_spans(model, column), column.is_null().to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(new, pa.string()) if i == at else c for i, c in enumerate(b.columns)], names=b.schema.names)
+        give_back()
 
     return docs.mapInArrow(run, docs.schema)

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import discard, fresh_path, shared_dir, written
 from ..session import ship as _ship
 
-__all__ = ["discard", "fresh_path", "parallel", "shared_dir", "ship", "table", "written"]
+__all__ = ["discard", "fresh_path", "give_back", "parallel", "shared_dir", "ship", "table", "written"]
 
 _BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
@@ -23,6 +26,17 @@ def ship(spark: SparkSession) -> None:
     _ship(spark)
 
 
+def give_back() -> None:
+    """Give memory that this process has freed back to the system, where its C library can do that.
+
+    A worker outlives its task, and what it keeps then is missing from its executor's next stages.
+    """
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
